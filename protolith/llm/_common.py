@@ -7,8 +7,11 @@ our own is created.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +57,18 @@ def uniform(col: Column, seed: int) -> Column:
     """A reproducible number in [0, 1) for each id."""
     h = F.xxhash64(col.cast("string"), F.lit(seed))
     return F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, where PYTHONPATH doesn't already."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if str(root) in paths or getattr(sc, "_protolith_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="protolith-")) / "protolith.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "protolith").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._protolith_shipped = True

@@ -53,8 +53,8 @@ def hash_words(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         return np.zeros(0, dtype=np.uint64)
     size = ends - starts
     first = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
-    at = place + np.repeat(starts, size)
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    at = place + np.repeat(starts.astype(np.int32), size)
     powers = _table(_POWERS, seed, int(size.max()), 1)
     letters = _table(_LETTERS, seed, int(units.max()) + 1, 2)
     with np.errstate(over="ignore"):

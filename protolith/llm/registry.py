@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from protolith.llm import exact, mix, secrets, urls
+from functools import wraps
+
+from protolith.llm import bpe, exact, language, mix, secrets, toxicity, urls
+from protolith.llm._common import ship
+
+
+def _shipped(f):
+    @wraps(f)
+    def query(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return query
+
 
 QUERIES = {
-    "op3_mix_sources": mix.op3_mix_sources,
-    "op4_secret_scan": secrets.op4_secret_scan,
-    "op7_url_filter": urls.op7_url_filter,
-    "op8_exact_dedup": exact.op8_exact_dedup,
+    f.__name__: _shipped(f)
+    for f in (bpe.op1_bpe, language.op2_language_id, mix.op3_mix_sources, secrets.op4_secret_scan, urls.op7_url_filter, exact.op8_exact_dedup, toxicity.op10_toxicity)
 }
 SQL = {"op3_mix_sources": mix.SQL, "op7_url_filter": urls.SQL, "op8_exact_dedup": exact.SQL}
