@@ -106,3 +106,56 @@ def words_between(space: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 def per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Offsets into the words: those of text i are [out[i], out[i + 1])."""
     return np.searchsorted(starts, offsets, side="left")
+
+
+class Memo:
+    """Lists of ids by 64-bit word hash; emptied when full, so its memory is bounded."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.offs, self.out = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def ensure(self, hashes: np.ndarray, make) -> np.ndarray:
+        """The place of each hash of a sorted list; ``make`` gives the ids of those at some places of it."""
+        new = np.flatnonzero(self._lacks(hashes))
+        if len(self.known) + len(new) > self.most:
+            self.clear()
+            new = np.arange(len(hashes))
+        if len(new):
+            lists = make(new)
+            ends = np.cumsum([len(x) for x in lists]) + self.offs[-1]
+            places = len(self.offs) - 1 + np.arange(len(new))
+            at = np.searchsorted(self.known, hashes[new])
+            self.known, self.where = np.insert(self.known, at, hashes[new]), np.insert(self.where, at, places)
+            self.offs = np.concatenate([self.offs, ends])
+            self.out = np.concatenate([self.out, np.array([i for x in lists for i in x], np.uint32)])
+        return self.where[np.searchsorted(self.known, hashes)]
+
+    def _lacks(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.ones(len(hashes), dtype=bool)
+        return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes
+
+
+def distinct_words(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Sorted hashes of the distinct words, each word's place among them, and their texts.
+
+    Words count as equal by two independent 64-bit hashes.
+    """
+    h, g = hash_words(units, starts, ends, 3), hash_words(units, starts, ends, 4)
+    kinds, first, back = np.unique(h, return_index=True, return_inverse=True)
+    if not np.array_equal(g, g[first][back]):
+        raise ArithmeticError("two words of one batch share a 64-bit hash")
+    text = units.tobytes().decode("utf-32-le")
+    return kinds, back, [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+
+
+def gathered(out: np.ndarray, src: np.ndarray, size: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of all words in turn, and the length of each."""
+    count = size[back]
+    begin = np.repeat(src[back] - (np.cumsum(count) - count), count)
+    return out[begin + np.arange(len(begin))], count

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protolith.llm._common import table, written
-from protolith.llm._vec import chunks, hash_words
+from protolith.llm._vec import Memo, chunks, distinct_words, gathered, hash_words
 
 #: Words in the lexicon at most; the others are merged, so this bounds memory and changes no result.
 LEXICON_WORDS = 1 << 17
@@ -276,62 +276,27 @@ class Codec:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         names = {i: t for t, i in [*self.merges.ids.items(), *self.special.items()]}
         self.names = [names.get(i, "").encode() for i in range(max(names, default=-1) + 1)]
-        self.forget()
-
-    def forget(self) -> None:
-        """Empty the memory of merged words: sorted hashes, each one's place, and the ids by place."""
-        self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.offs, self.out = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def remember(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        merged = [self.merges.word(w) for w in words]
-        ends = np.cumsum([len(x) for x in merged]) + self.offs[-1]
-        places = len(self.offs) - 1 + np.arange(len(words))
-        self.offs = np.concatenate([self.offs, ends])
-        self.out = np.concatenate([self.out, np.array([i for x in merged for i in x], np.uint32)])
-        every, at = np.concatenate([self.known, hashes]), np.concatenate([self.where, places])
-        order = np.argsort(every)
-        self.known, self.where = every[order], at[order]
-
-    def unknown(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.ones(len(hashes), dtype=bool)
-        return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes
+        self.memo = Memo(MEMO_WORDS)
 
     def ids_of(self, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in turn, and how many each word has.
 
-        Equal words are found by hash, checked by a second hash; every distinct
-        one goes through the lexicon, then the memory, then the merges.
+        Every distinct word goes through the lexicon, then the memory, then the merges.
         """
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        h, g = hash_words(units, starts, ends, 3), hash_words(units, starts, ends, 4)
-        kinds, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if not np.array_equal(g, g[first][back]):
-            raise ArithmeticError("two words of one batch share a 64-bit hash")
-        text = units.tobytes().decode("utf-32-le", "surrogatepass")
-        words = [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        kinds, back, texts = distinct_words(units, starts, ends)
+        words = [t.encode() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         last = np.cumsum(sizes)
         place = self.lexicon.places(np.frombuffer(b"".join(words), np.uint8), last - sizes, last)
-        miss = np.flatnonzero(place < 0)
-        new = miss[self.unknown(kinds[miss])]
-        if len(self.known) + len(new) > MEMO_WORDS:
-            self.forget()
-            new = miss
-        if len(new):
-            self.remember(kinds[new], [words[i] for i in new.tolist()])
+        miss, got = np.flatnonzero(place < 0), place >= 0
+        w = self.memo.ensure(kinds[miss], lambda new: [self.merges.word(words[i]) for i in miss[new].tolist()])
         src, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        got = place >= 0
         src[got] = self.lexicon.offs[place[got]]
         size[got] = self.lexicon.offs[place[got] + 1] - src[got]
-        if len(miss):
-            w = self.where[np.searchsorted(self.known, kinds[miss])]
-            src[miss], size[miss] = self.offs[w] + len(self.lexicon.out), self.offs[w + 1] - self.offs[w]
-        count = size[back]
-        begin = np.repeat(src[back] - (np.cumsum(count) - count), count)
-        return np.concatenate([self.lexicon.out, self.out])[begin + np.arange(len(begin))], count
+        src[miss], size[miss] = self.memo.offs[w] + len(self.lexicon.out), self.memo.offs[w + 1] - self.memo.offs[w]
+        return gathered(np.concatenate([self.lexicon.out, self.memo.out]), src, size, back)
 
     def normal(self, text: str) -> list[list[bytes] | int]:
         """Words (as UTF-8) between special tokens (as ids), by the tokenizer's own normaliser and pre-tokenizer."""
