@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from protolith.llm import bpe, exact, language, mix, near, secrets, tokens_out, toxicity, urls
+from protolith.llm import bpe, embeddings, exact, language, mix, near, secrets, tokens_out, toxicity, urls
 from protolith.llm._common import ship
 
 
@@ -19,6 +19,6 @@ def _shipped(f):
 
 QUERIES = {
     f.__name__: _shipped(f)
-    for f in (bpe.op1_bpe, language.op2_language_id, mix.op3_mix_sources, secrets.op4_secret_scan, near.op5_near_dedup, tokens_out.op6_token_output, urls.op7_url_filter, exact.op8_exact_dedup, toxicity.op10_toxicity)
+    for f in (bpe.op1_bpe, language.op2_language_id, mix.op3_mix_sources, secrets.op4_secret_scan, near.op5_near_dedup, tokens_out.op6_token_output, urls.op7_url_filter, exact.op8_exact_dedup, embeddings.op9_embedding_dedup, toxicity.op10_toxicity)
 }
 SQL = {"op3_mix_sources": mix.SQL, "op7_url_filter": urls.SQL, "op8_exact_dedup": exact.SQL}
