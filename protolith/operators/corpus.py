@@ -99,17 +99,22 @@ def prefix_until(df: DataFrame, quotas: dict[str, tuple[Column, int]], order: st
     return counted.crossJoin(F.broadcast(end)).filter(F.col("__end").isNull() | (F.col(order) <= F.col("__end"))).drop("__end", *[f"__{c}_seen" for c in quotas])  # one row
 
 
+def shuffled(key: str, seed: int) -> Column:
+    """A reproducible random order of the keys, the same in every engine that has md5."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Adds __rank, a reproducible random order within each group."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    return df.withColumn("__rank", F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)))
+    return df.withColumn("__rank", F.row_number().over(w.orderBy(shuffled(key, seed), key)))
 
 
 def sample(df: DataFrame, n: int, key: str = "query_id", seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """n rows (of each group) without replacement, the same on every run."""
     if by:
         return hash_rank(df, key, seed, by).filter(F.col("__rank") <= n).drop("__rank")
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(shuffled(key, seed), key).limit(n)
 
 
 def without(df: DataFrame, taken: DataFrame, on: str = "text") -> DataFrame:

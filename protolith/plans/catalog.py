@@ -1,10 +1,8 @@
-"""Queries over the driver's tables and their SQL, by name."""
+"""All queries over the driver's tables and their SQL, by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from protolith.plans import corpus_queries, evaluation_queries, report_queries, vector_queries
+from protolith.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "corpus_queries", "evaluation_queries", "report_queries", "vector_queries"]
