@@ -37,8 +37,6 @@ BUCKETS = 1 << 16
 SMOOTH = 0.5
 #: The text is ambiguous where the two least losses, as a share of the bits' weight, are closer.
 GAP = 0.05
-#: Below this gap the text is rejected: there is no telling the language.
-REJECT_GAP = 0.002
 #: Bytes that are scored at once.
 BLOCK = 1 << 16
 UND = "und"
@@ -188,16 +186,16 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` in which a language is found, with the columns of ``docs``.
 
-    Rejected are texts that are ``und`` and those whose two nearest codewords are
-    as good as equally near (``REJECT_GAP``); other ambiguous texts stay.
+    Rejected are texts that are ``und``: null, or without a letter.  An ambiguous
+    text is in one of the languages all the same, and stays.
     """
     model, at = trained(docs, id_col, text_col, lang_col), docs.columns.index(text_col)
 
     def keep(batches):
         for b in batches:
             for part in chunks(b, text_col):
-                lang, _, gap = _predicted(model, part, at)
-                yield part.filter(pa.array([k != UND and g >= REJECT_GAP for k, g in zip(lang, gap, strict=True)], pa.bool_()))
+                lang, _, _ = _predicted(model, part, at)
+                yield part.filter(pa.array([k != UND for k in lang], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -98,7 +98,8 @@ class Ledger:
         unseen = versions.join(self.entries().select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first("body").alias("body"))
         done = unseen.select("blob", F.lit(self.version).alias("rules"), spans(F.col("body"), self.rules).alias("spans"))
         done.write.mode("append").parquet(self.path)
-        found = self.entries().filter(F.size("spans") > 0).select("blob", "spans")
+        # two scans at once may both have recorded a blob
+        found = self.entries().filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
         out = versions.select("doc_id", "blob").join(found, "blob", "left")
         return out.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
