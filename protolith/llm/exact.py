@@ -62,7 +62,7 @@ class BinaryFuse:
             raise RuntimeError("no seed lets the keys be peeled")
         self.prints = np.zeros(size, dtype=np.uint16)
         for which, alone in reversed(peeled):
-            at, own = self._slots(keys[which])
+            own = self._slots(keys[which])
             rest = self._print(keys[which])
             for k in range(3):
                 rest = np.where(own[k] == alone, rest, rest ^ self.prints[own[k]])
@@ -73,18 +73,16 @@ class BinaryFuse:
             h = mix(keys + np.uint64(self.seed) * np.uint64(0x9E3779B97F4A7C15))
         first = ((h >> np.uint64(32)) * np.uint64(self.segments) >> np.uint64(32)).astype(np.int64)
         mask = np.uint64(self.segment - 1)
-        own = [(first + k) * self.segment + ((h >> np.uint64(s)) & mask).astype(np.int64) for k, s in ((0, 0), (1, 18), (2, 36))]
-        # the bits of the second and third place are remixed, as they overlap those that choose the segment
-        g = mix(h)
-        own[1] = (first + 1) * self.segment + (g & mask).astype(np.int64)
-        own[2] = (first + 2) * self.segment + ((g >> np.uint64(32)) & mask).astype(np.int64)
-        return h, own
+        g = mix(h)  # the places within the segments, of bits that don't choose the segment
+        places = (h & mask, g & mask, (g >> np.uint64(32)) & mask)
+        own = [(first + k) * self.segment + p.astype(np.int64) for k, p in enumerate(places)]
+        return own
 
     def _print(self, keys):
         return (mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(0xFFFF)).astype(np.uint16)
 
     def _peel(self, keys, size):
-        _, own = self._slots(keys)
+        own = self._slots(keys)
         count, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for o in own:
             np.add.at(count, o, 1)
@@ -103,7 +101,7 @@ class BinaryFuse:
         return order
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        _, own = self._slots(keys.astype(np.uint64))
+        own = self._slots(keys.astype(np.uint64))
         return self.prints[own[0]] ^ self.prints[own[1]] ^ self.prints[own[2]] == self._print(keys.astype(np.uint64))
 
     def dump(self) -> bytes:
