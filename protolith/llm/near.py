@@ -4,11 +4,14 @@ A document's set holds its distinct shingles of ``SHINGLE`` words (lower-cased i
 A-Z, split at ``[\\x20\\x09-\\x0D]``); a text of fewer words is one shingle.  Texts
 with the same words in the same order are one node, so copies are never
 compared.  MinHash samples are grouped in bands; nodes that share a band are
-candidates.  An odd sketch folds the samples into a parity bitmap: the number of
-ones in the XOR of two bitmaps estimates the similarity, most precisely near 1,
-and pairs that are clearly below the threshold go no further.  All others are
-confirmed on their full sets, so no link is false; a pair at the threshold is
-missed by all bands with a chance of about 3 in a million.
+candidates.  An odd sketch folds a set's least hashes into a parity bitmap: all
+of a set of up to ``SKETCH_SAMPLES``, and of a larger one those under a bound that
+halves as the size doubles, so that two sets of a size class are sampled alike.
+The ones in the XOR of two bitmaps estimate how many samples differ, most
+precisely for high similarities, and never exceed it: a pair with more ones than
+the threshold allows (and six deviations for sampled sets) goes no further.  All
+others are confirmed on their full sets, so no link is false; a pair at the
+threshold is missed by all bands with a chance of about 3 in a million.
 
 No bucket is expanded into all pairs.  First each bucket's members are compared
 with its hub, the member with the most bucket mates; true groups become one
@@ -25,7 +28,6 @@ named columns are read.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +39,15 @@ from protolith.llm._components import components
 from protolith.llm._vec import LOWER, SPACE, chunks, flat, hash_words, mix, per_text, stream, words_between
 
 BANDS, ROWS = 32, 5
-SKETCH_BITS = 512
-#: Pairs whose sketches say less than this go no further; over five deviations below the threshold of 0.8.
-SKETCH_FLOOR = 0.55
+#: Bits of a bitmap, and the largest set that goes into one whole.
+SKETCH_BITS = 1024
+SKETCH_SAMPLES = 512
+_WORDS = SKETCH_BITS // 64
 _PERMS = BANDS * ROWS
 _XOR = (stream(_PERMS, 101) >> np.uint64(32)).astype(np.uint32)
 _MUL = ((stream(_PERMS, 102) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
 _BAND = stream(_PERMS, 103).reshape(BANDS, ROWS) | np.uint64(1)
-_BIT = stream(_PERMS, 104)
+_SALT = stream(1, 104)
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -83,15 +86,20 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
         return mix((sig.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def odd_sketch(sig: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        bits = mix(sig.astype(np.uint64) + _BIT) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+def size_class(n: int) -> int:
+    """0 for a set that is sketched whole; one more for each doubling of its size."""
+    return max(0, (n - 1) // SKETCH_SAMPLES).bit_length()
 
 
-def expected_ones(similarity: float) -> float:
-    """Ones expected in the XOR of two odd sketches of sets so similar."""
-    return SKETCH_BITS / 2 * (1 - math.exp(-4 * _PERMS * (1 - similarity) / SKETCH_BITS))
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The bitmaps of a non-empty set for its own size class and for the next, as 64-bit words."""
+    own = size_class(len(shingles))
+    out = []
+    for level in (own, own + 1):
+        least = shingles[shingles >> np.uint64(64 - level) == 0] if level else shingles
+        bits = (mix(least ^ _SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        out.append(np.packbits((np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64))
+    return np.concatenate(out)
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -107,7 +115,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                     seq.append(mark)
                     n.append(len(s))
                     bands.append(None if sig is None else band_keys(sig))
-                    sketch.append(None if sig is None else odd_sketch(sig))
+                    sketch.append(None if sig is None else odd_sketch(s))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seq, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs)], names=["doc_id", "seq", "n", "bands", "sketch"])
 
@@ -130,8 +138,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Whether lengths and odd sketches allow a link."""
     na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
-    ones = sum((F.bit_count(F.col(f"sketch_{a}")[k].bitwiseXOR(F.col(f"sketch_{b}")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (ones <= math.ceil(expected_ones(SKETCH_FLOOR)))
+    level = lambda n: F.when(n <= SKETCH_SAMPLES, 0).otherwise(F.length(F.bin(F.floor((n - 1) / SKETCH_SAMPLES))))  # noqa: E731  as size_class
+    at = F.greatest(level(na), level(nb))
+    word = lambda s, n, k: F.get(F.col(f"sketch_{s}"), k + _WORDS * (at - level(n)))
+    ones = sum((F.bit_count(word(a, na, k).bitwiseXOR(word(b, nb, k))) for k in range(_WORDS)), F.lit(0))
+    # similar sets differ in so many elements at most; of sampled ones, so many are seen
+    differ = (na + nb) * ((100 - percent) / (100 + percent)) / F.pow(F.lit(2.0), at)
+    most = F.when(at == 0, differ + 1e-6).otherwise(differ + 6 * F.sqrt(differ) + 6)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & F.coalesce(ones <= most, F.lit(True))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
