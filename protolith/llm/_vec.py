@@ -47,19 +47,26 @@ def _table(cache: dict, seed: int, n: int, salt: int) -> np.ndarray:
     return cache[seed]
 
 
-def hash_words(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each non-empty segment of ``units`` (bytes or code points)."""
+def hash_words(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, *seeds: int):
+    """64-bit hashes of non-empty, ascending segments of ``units`` (bytes or code points), one array for each seed."""
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    size = ends - starts
-    first = np.cumsum(size) - size
-    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
-    at = place + np.repeat(starts.astype(np.int32), size)
-    powers = _table(_POWERS, seed, int(size.max()), 1)
-    letters = _table(_LETTERS, seed, int(units.max()) + 1, 2)
-    with np.errstate(over="ignore"):
-        total = np.add.reduceat(letters[units[at]] * powers[place], first)
-        return mix(total + size.astype(np.uint64))
+        out = [np.zeros(0, dtype=np.uint64) for _ in seeds]
+        return out if len(seeds) > 1 else out[0]
+    low, high = int(starts[0]), int(ends[-1])
+    units, first, size = units[low:high], starts - low, (ends - starts).astype(np.uint64)
+    stretch = np.diff(first, append=high - low)
+    place = np.arange(high - low, dtype=np.int32) - np.repeat(first.astype(np.int32), stretch)
+    gaps = not np.array_equal(ends[:-1], starts[1:])
+    if gaps:  # sums over the segments and over what is between them
+        first = np.stack([first, ends - low], axis=1).ravel()[:-1]
+    out = []
+    for seed in seeds:
+        powers = _table(_POWERS, seed, int(stretch.max()), 1)
+        letters = _table(_LETTERS, seed, int(units.max()) + 1, 2)
+        with np.errstate(over="ignore"):
+            total = np.add.reduceat(letters[units] * powers[place], first)
+            out.append(mix((total[::2] if gaps else total) + size))
+    return out if len(seeds) > 1 else out[0]
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,17 +148,36 @@ class Memo:
         return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes
 
 
-def distinct_words(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Sorted hashes of the distinct words, each word's place among them, and their texts.
+def distinct_words(units: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Sorted hashes of the distinct words, each word's place among them, and a function from places to texts.
 
     Words count as equal by two independent 64-bit hashes.
     """
-    h, g = hash_words(units, starts, ends, 3), hash_words(units, starts, ends, 4)
+    h, g = hash_words(units, starts, ends, 3, 4)
     kinds, first, back = np.unique(h, return_index=True, return_inverse=True)
     if not np.array_equal(g, g[first][back]):
         raise ArithmeticError("two words of one batch share a 64-bit hash")
     text = units.tobytes().decode("utf-32-le")
-    return kinds, back, [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+
+    def texts(places: np.ndarray) -> list[str]:
+        at = first[places]
+        return [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+
+    return kinds, back, texts
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All code points of the texts, and the texts' offsets."""
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offs
+
+
+def all_below(texts: list[str], limit: int) -> list[bool]:
+    """Whether each text has no code point from ``limit`` on."""
+    out = np.ones(len(texts), dtype=bool)
+    units, offs = code_points(texts)
+    out[np.searchsorted(offs, np.flatnonzero(units >= limit), side="right") - 1] = False
+    return out.tolist()
 
 
 def gathered(out: np.ndarray, src: np.ndarray, size: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

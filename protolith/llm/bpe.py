@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protolith.llm._common import table, written
-from protolith.llm._vec import Memo, chunks, distinct_words, gathered, hash_words
+from protolith.llm._vec import Memo, all_below, chunks, code_points, distinct_words, gathered, hash_words
 
 #: Words in the lexicon at most; the others are merged, so this bounds memory and changes no result.
 LEXICON_WORDS = 1 << 17
@@ -91,8 +91,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
     For texts below ``FAST`` that are lower-cased already.
     """
-    units = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    units, offs = code_points(texts)
     n = len(units)
     if not n:
         return units, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
@@ -286,7 +285,7 @@ class Codec:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         kinds, back, texts = distinct_words(units, starts, ends)
-        words = [t.encode() for t in texts]
+        words = [t.encode() for t in texts(np.arange(len(kinds)))]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         last = np.cumsum(sizes)
         place = self.lexicon.places(np.frombuffer(b"".join(words), np.uint8), last - sizes, last)
@@ -313,7 +312,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         low = [t.lower() for t in texts]
-        plain = [t.isascii() or max(t) < "\u0250" for t in texts]
+        plain = all_below(texts, FAST)
         if self.split:
             plain = [p and not ("<|" in t and self.split.search(t)) for p, t in zip(plain, texts, strict=True)]
         units, s, e, own = words_of([t for t, p in zip(low, plain, strict=True) if p])
@@ -369,7 +368,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         tally = WordTally()
         for b in batches:
             for part in chunks(b, text_col, BATCH_BYTES):
-                texts = [t.lower() for t in part.column(0).to_pylist() if t and (t.isascii() or max(t) < "\u0250")]
+                texts = [t for t in part.column(0).to_pylist() if t]
+                texts = [t.lower() for t, p in zip(texts, all_below(texts, FAST), strict=True) if p]
                 units, s, e, _ = words_of(texts)
                 if len(s):
                     h, first, n = np.unique(hash_words(units, s, e, 3), return_index=True, return_counts=True)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from protolith.llm._common import table, work_path
-from protolith.llm._vec import Memo, chunks, distinct_words, gathered
+from protolith.llm._vec import Memo, all_below, chunks, code_points, distinct_words, gathered
 from protolith.llm.bpe import _CLASS, FAST, OTHER, SIGNS, contracted
 from protolith.llm.bpe import SPACE as BLANK
 
@@ -59,8 +59,7 @@ def pieces_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     A piece is a contraction, or a run of letters, digits or other signs with the
     space before it, or white space that nothing takes.  For texts below FAST.
     """
-    units = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    units, offs = code_points(texts)
     n = len(units)
     if not n:
         return units, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
@@ -96,12 +95,12 @@ class Encoder:
         return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [(t.isascii() or max(t) < "ɐ") and not any(s in t for s in self.special) for t in texts]
+        plain = [p and not any(s in t for s in self.special) for t, p in zip(texts, all_below(texts, FAST), strict=True)]
         units, s, e, own = pieces_of([t for t, p in zip(texts, plain, strict=True) if p])
         ids, cut = np.zeros(0, np.uint32), own
         if len(s):
             kinds, back, pieces = distinct_words(units, s, e)
-            w = self.memo.ensure(kinds, lambda new: [self.merged(pieces[i]) for i in new.tolist()])
+            w = self.memo.ensure(kinds, lambda new: list(map(self.merged, pieces(new))))
             ids, count = gathered(self.memo.out, self.memo.offs[w], self.memo.offs[w + 1] - self.memo.offs[w], back)
             cut = np.concatenate([[0], np.cumsum(count)])[own]
         out, k = [], 0
@@ -156,17 +155,26 @@ def repair(tokens: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]
     return s, np.array(rules, np.uint16).reshape(-1, 2)
 
 
-def expanded(s: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The tokens that the symbols stand for."""
-    s = s.astype(np.int64)
-    while len(s) and (new := s >= vocabulary).any():
-        at = np.cumsum(1 + new) - (1 + new)
-        out = np.empty(len(s) + int(new.sum()), np.int64)
-        rule = rules[s[new] - vocabulary].astype(np.int64)
-        out[at[~new]] = s[~new]
-        out[at[new]], out[at[new] + 1] = rule[:, 0], rule[:, 1]
-        s = out
-    return s.astype(np.uint32)
+class Expansion:
+    """What each symbol stands for, laid out in one array."""
+
+    def __init__(self, rules: np.ndarray, vocabulary: int):
+        parts = [np.arange(vocabulary, dtype=np.uint32)]
+        known: list[np.ndarray] = []
+        one = lambda k: known[k - vocabulary] if k >= vocabulary else parts[0][k : k + 1]
+        for a, b in rules.tolist():
+            known.append(np.concatenate([one(a), one(b)]))
+        self.flat = np.concatenate(parts + known)
+        self.length = np.concatenate([np.ones(vocabulary, np.int32), np.array([len(k) for k in known], np.int32)])
+        self.first = np.cumsum(self.length, dtype=np.int32) - self.length
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """The tokens that the symbols stand for."""
+        size = self.length[s]
+        begin = self.first[s] - (np.cumsum(size, dtype=np.int32) - size)
+        begin = np.repeat(begin, size)
+        begin += np.arange(len(begin), dtype=np.int32)
+        return self.flat[begin]
 
 
 def pack(ids: list[np.ndarray], vocabulary: int) -> bytes:
@@ -192,6 +200,7 @@ class Block:
         at = 20
         self.rules = np.frombuffer(data, "<u2", 2 * rules, at).reshape(-1, 2)
         self.length = np.concatenate([np.ones(self.vocabulary, np.int64), np.frombuffer(data, "<u4", rules, at := at + 4 * rules)])
+        self.expansion = Expansion(self.rules, self.vocabulary)
         self.docs = np.frombuffer(data, "<u4", docs + 1, at := at + 4 * rules).astype(np.int64)
         strides = -(-symbols // STRIDE)
         self.strides = np.frombuffer(data, "<u4", strides, at := at + 4 * (docs + 1)).astype(np.int64)
@@ -206,13 +215,13 @@ class Block:
         part = self.symbols[k * STRIDE : z * STRIDE]
         before = self.strides[k] + np.cumsum(self.length[part]) - self.length[part]
         a, b = int(np.searchsorted(before, start, side="right")) - 1, int(np.searchsorted(before, end, side="left"))
-        return expanded(part[a:b], self.rules, self.vocabulary)[start - before[a] : end - before[a]]
+        return self.expansion.of(part[a:b])[start - before[a] : end - before[a]]
 
     def document(self, k: int) -> np.ndarray:
         return self.tokens(int(self.docs[k]), int(self.docs[k + 1]))
 
     def all(self) -> np.ndarray:
-        return expanded(self.symbols, self.rules, self.vocabulary)
+        return self.expansion.of(self.symbols)
 
 
 _ENCODERS: dict[str, Encoder] = {}

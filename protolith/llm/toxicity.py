@@ -131,6 +131,8 @@ class Model:
             return np.zeros(0), np.zeros(0, np.int64)
         whole = hash_words(data, starts, ends, 31 + len(STEMS))
         _, first, back = np.unique(whole, return_index=True, return_inverse=True)
+        order = np.argsort(first)  # one token of each kind, in the order of the text
+        first, back = first[order], np.argsort(order)[back]
         out = np.zeros(len(first))
         for level, has, own, _ in _levels(data, starts[first], ends[first]):
             if len(self.hashes[level]):
