@@ -10,7 +10,7 @@ scores.  A constant drift makes ordinary text score below zero.
 A linear scan finds all maximal scoring segments of a text.  The best segment of
 clean texts follows an extreme-value law, P(S >= x) = 1 - exp(-K n exp(-x L)) for
 n tokens; K and L are fitted to clean labelled texts.  A segment is a significant
-passage when its expected count in clean text of that length is under
+passage when clean text of that length has one with a chance under
 ``SIGNIFICANT``, and a document's score is a logistic function of the best
 segment's.  Counts come from three quarters of the training sample, the law and
 the logistic function from the rest.
@@ -39,7 +39,7 @@ FIT_ROWS = 6000
 PRIOR = 8.0
 #: Taken from each token's log-odds.
 DRIFT = 1.0
-#: Expected count in clean text below which a segment is reported.
+#: Chance in clean text below which a segment is reported.
 SIGNIFICANT = 0.01
 STEMS = (4, 5)
 #: A token that repeats one of so many before it adds no evidence: the counts are of documents, not of uses.
@@ -157,10 +157,12 @@ class Model:
             found = segments(total[at].tolist(), total[at + 1].tolist()) if len(at) else []
             yield int(own[i + 1] - own[i]), [(s, int(starts[at[a]] - o[i]), int(ends[at[b]] - o[i])) for s, a, b in found], data[o[i] : o[i + 1]]
 
-    def surprise(self, best: float, n: int) -> float:
-        """Minus the log of the expected number of such segments in clean text."""
+    def surprise(self, best, n):
+        """Minus the log of the chance that clean text of n tokens has such a segment; 0 without a segment."""
         lam, k = self.law
-        return lam * best - np.log(k * max(n, 1))
+        best, n = np.asarray(best, float), np.maximum(np.asarray(n, float), 1)
+        chance = -np.expm1(-k * n * np.exp(-lam * best))
+        return np.where(best > 0, -np.log(np.maximum(chance, 1e-300)), 0.0)
 
     def score(self, best: float, n: int) -> float:
         if not self.known:
@@ -240,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     y, n, top = rest.column("y").to_numpy().astype(bool), np.maximum(rest.column("n").to_numpy(), 1).astype(float), rest.column("best").to_numpy()
     if y.any() and not y.all():
         model.law = fit_law(top[~y], n[~y])
-        model.logit = fit_logit(model.law[0] * top - np.log(model.law[1] * n), y.astype(float))
+        model.logit = fit_logit(model.surprise(top, n), y.astype(float))
     else:
         model.logit = (1.0, -5.0)
     return model
