@@ -24,6 +24,8 @@ read.
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import hashlib
 import json
 import mmap
@@ -255,11 +257,18 @@ def mapped(data: bytes) -> Lexicon:
     """The lexicon as a file in this machine's temporary folder, mapped into memory and shared by its workers."""
     path = os.path.join(tempfile.gettempdir(), f"protolith-{hashlib.sha256(data).hexdigest()[:24]}.lex")
     if not os.path.exists(path):
+        for old in glob.glob(os.path.join(tempfile.gettempdir(), "protolith-*.lex")):  # maps of them stay valid
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(old)
         fd, part = tempfile.mkstemp(dir=os.path.dirname(path))
         with os.fdopen(fd, "wb") as f:
             f.write(data)
         os.replace(part, path)
-    with open(path, "rb") as f:
+    try:
+        f = open(path, "rb")
+    except FileNotFoundError:  # another job's worker has just removed it
+        return Lexicon(data)
+    with f:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
