@@ -35,6 +35,11 @@ def text_lower(spark, sf):
     return docs(spark, sf).select("query_id", F.lower(F.substring("text", 1, 200)).alias("low"))
 
 
+@query("SELECT doc_id AS query_id, lower(text) AS low FROM documents")
+def text_lower_whole(spark, sf):
+    return docs(spark, sf).select("query_id", F.lower("text").alias("low"))
+
+
 @query("SELECT doc_id AS query_id, contains(lower(text), 'password') AS hit FROM documents")
 def text_contains(spark, sf):
     return docs(spark, sf).select("query_id", C.contains_any(F.col("text"), ["password"]).alias("hit"))
