@@ -65,6 +65,11 @@ def vec_series(spark, sf):
     return T.vectors(spark, sf).filter("split = 'train'").select("query_id", F.posexplode("vec").alias("dim", "x")).withColumn("x", V.rounded(F.col("x")))
 
 
+@query(f"WITH {W} SELECT query_id, (i - 1)::INT AS dim, {r6('vec[i]')} AS x FROM w, range(1, 65) r(i)")
+def vec_series_whole(spark, sf):
+    return T.vectors(spark, sf).select("query_id", F.posexplode("vec").alias("dim", "x")).withColumn("x", V.rounded(F.col("x")))
+
+
 @query(f"WITH {ACT} SELECT query_id, layer, {r6('vec[1]')} AS first_x, {r6('vec[16]')} AS last_x FROM act WHERE layer IN (0, 3)")
 def layer_pick(spark, sf):
     return T.activations(spark, sf, (0, 3)).select("query_id", "layer", V.rounded(F.col("vec")[0]).alias("first_x"), V.rounded(F.col("vec")[15]).alias("last_x"))

@@ -9,3 +9,9 @@ def test_text_lower_whole_keeps_what_follows_the_first_200_code_points(spark, sm
     got = {r.query_id: r.low for r in QUERIES["text_lower_whole"](spark, small).collect()}
     assert got == {i: t.lower() for i, t in texts.items()}
     assert sum(map(len, got.values())) > sum(len(t[:200]) for t in texts.values())
+
+
+def test_vec_series_whole_has_every_vector(spark, small):
+    sizes = {r.vec_id: len(r.embedding) for r in T.read(spark, small, "embeddings").collect()}
+    got = {r.query_id: r["count"] for r in QUERIES["vec_series_whole"](spark, small).groupBy("query_id").count().collect()}
+    assert got == sizes and any(i % 10 for i in got)
