@@ -7,7 +7,8 @@ digests, built once.  An incoming batch is first grouped by digest on its own
 (its internal duplicates never touch the snapshot); each distinct new digest is
 then screened by the filter of its range.  Nearly all that pass are true members;
 they join the exact buckets of the snapshot by digest, and the normalised bytes
-of one text from either side are compared before two groups become one.
+of one text from either side are compared before two groups become one.  A batch
+group that the filter denies, or whose bytes differ, is a new group.
 
 A digest's range is its first 16 bits modulo a number of ranges that grows with
 the snapshot, so a filter task holds about ``RANGE_KEYS`` digests at any size.
@@ -168,13 +169,18 @@ def dedup(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", text_co
 
     # exact buckets, then the bytes of one text from each side
     both = written(maybe.join(old.select("digest", F.col("best.doc_id").alias("old_id")), "digest").join(new.select("digest", F.col("best.doc_id").alias("new_id")), "digest"), "exact-positives")
-    texts = lambda docs, side: docs.select(F.col(id_col).alias(f"{side}_id"), F.sha2(normalised(F.col(text_col)), 256).alias("d"), normalised(F.col(text_col)).alias(f"{side}_text")).join(both.select(f"{side}_id", F.lower(F.hex("digest")).alias("d")), ["d", f"{side}_id"], "left_semi").dropDuplicates(["d"]).drop(f"{side}_id")
-    left, right = texts(snapshot, "old"), texts(batch, "new")
-    differ = left.join(right, "d").filter("old_text <> new_text").select(F.unhex("d").alias("digest"), F.lit(True).alias("differ"))
 
-    # groups of either side that are the same text become one; a differing pair stays apart
+    def texts(docs, side):
+        own = docs.select(F.col(id_col).alias(f"{side}_id"), F.sha2(normalised(F.col(text_col)), 256).alias("d"), normalised(F.col(text_col)).alias(f"{side}_text"))
+        want = both.select(F.col(f"{side}_id").alias("best_id"), F.lower(F.hex("digest")).alias("best_d"))
+        # a group of null ids alone has a null id
+        return own.join(want, (F.col("d") == F.col("best_d")) & F.col(f"{side}_id").eqNullSafe(F.col("best_id")), "left_semi").dropDuplicates(["d"]).drop(f"{side}_id")
+
+    same = texts(snapshot, "old").join(texts(batch, "new"), "d").filter("old_text = new_text").select(F.unhex("d").alias("digest"), F.lit(True).alias("same"))
+
+    # a batch group joins the snapshot's only by that; all others are new groups
     sides = old.withColumn("in_batch", F.lit(False)).unionByName(new.withColumn("in_batch", F.lit(True)))
-    sides = sides.join(differ, "digest", "left").withColumn("part", F.when(F.col("differ"), F.col("in_batch")).otherwise(F.lit(False)))
+    sides = sides.join(same, "digest", "left").withColumn("part", F.col("in_batch") & F.col("same").isNull())
     final = sides.groupBy("digest", "part").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"), F.collect_set("in_batch").alias("of"))
     final = final.select("digest", F.explode("of").alias("in_batch"), F.col("best.doc_id").alias("keep_id"), "group_size")
     return rows.join(final, ["digest", "in_batch"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
