@@ -102,9 +102,10 @@ def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, seq (digest of the words), n, bands and sketch for every row."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def signed(docs: DataFrame, id_col: str, text_col: str, width: int, *more: Column) -> DataFrame:
+    """doc_id, seq (digest of the words), n, bands and sketch for every row, and ``more``."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
+    own = base.columns[2:]
 
     def run(batches):
         for b in batches:
@@ -117,9 +118,9 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                     bands.append(None if sig is None else band_keys(sig))
                     sketch.append(None if sig is None else odd_sketch(s))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seq, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs)], names=["doc_id", "seq", "n", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seq, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, longs), pa.array(sketch, longs), *part.columns[2:]], names=["doc_id", "seq", "n", "bands", "sketch", *own])
 
-    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, seq binary, n long, bands array<long>, sketch array<long>")
+    return base.mapInArrow(run, ", ".join([f"doc_id {dict(base.dtypes)['doc_id']}, seq binary, n long, bands array<long>, sketch array<long>", *[f"{c} {t}" for c, t in base.dtypes[2:]]]))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -157,12 +158,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
     return pairs.join(of("b"), "b").join(of("a"), "a").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row.
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, *more: Column) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row, and ``more``.
 
     ``width``: words in a shingle; ``percent``: least similarity in hundredths.
     """
-    rows = written(signed(docs, id_col, text_col, width), "near-signed")
+    rows = written(signed(docs, id_col, text_col, width, *more), "near-signed")
     best = F.min(F.struct(F.col("doc_id").alias("id"), "n", "bands", "sketch")).alias("x")
     nodes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("seq").agg(best).select("seq", "x.*"), "near-nodes")
 
@@ -199,14 +200,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = nodes.select("seq", "id").join(found, "id", "left").select("seq", F.coalesce("component", "id").alias("component"))
     # rows that repeat an id with other texts are one document
-    own = rows.join(named, "seq", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    own = rows.join(named, "seq", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), *rows.columns[5:])
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with the columns of ``docs``."""
-    gone = near_components(docs, id_col, text_col, width, percent).filter("NOT kept").select(F.col("doc_id").alias("__pl_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__pl_id"), "left_anti")
+    digest = F.sha2(F.col(text_col), 256)
+    # by the text too: of the texts of a repeated id, one may stay and another go
+    gone = near_components(docs, id_col, text_col, width, percent, digest.alias("__pl_digest")).filter("NOT kept").select(F.col("doc_id").alias("__pl_id"), "__pl_digest").distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("__pl_id")) & (digest == F.col("__pl_digest")), "left_anti")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

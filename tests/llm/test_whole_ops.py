@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from protolith.llm import exact
+from protolith.llm import exact, near
 
 
 def test_a_false_negative_of_the_filter_changes_the_result(spark, monkeypatch):
@@ -18,3 +18,11 @@ def test_a_group_of_null_ids_joins_the_snapshot(spark):
     for snapshot, batch in ((rows[:1], rows[1:]), (rows[1:], rows[:1]), (rows[1:2], rows[2:])):
         got = exact.dedup(spark.createDataFrame(snapshot, schema), spark.createDataFrame(batch, schema)).collect()
         assert sorted(r.group_size for r in got) == [1] + [len(got) - 1] * (len(got) - 1)
+
+
+def test_a_text_of_a_repeated_id_stays_where_no_copy_of_it_does(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, a, "x"), (7, a, "y"), (7, b, "z"), (7, None, "w"), (None, a, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = near.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.source for r in got.collect()) == ["v", "w", "x", "z"]
