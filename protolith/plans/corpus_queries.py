@@ -268,6 +268,13 @@ def report_corpus(spark, sf):
     return C.first_n(kept, 5, ("source", "label"), "query_id").groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
+@query(f"WITH {Q}, k AS (SELECT * FROM q WHERE length({STRIPPED}) BETWEEN 20 AND 2000), c AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY query_id) AS rn FROM k) SELECT source, label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM c WHERE rn <= 5 GROUP BY source, label")
+def report_corpus_whole(spark, sf):
+    """Length band, quota by source and class, then the breakdown, over all documents."""
+    kept = C.length_band(C.not_empty(T.labelled(spark, sf)), 20, 2000)
+    return C.first_n(kept, 5, ("source", "label"), "query_id").groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
 MINED = f"""{Q}, c AS (SELECT query_id, label, text, quality, sum((label = 1)::INT) OVER (ORDER BY query_id) AS danger FROM q),
 pf AS (SELECT * FROM c WHERE query_id <= coalesce((SELECT min(query_id) FROM c WHERE danger >= 40), 9223372036854775807)),
 lb AS (SELECT query_id, {FIRST} AS category, label FROM pf),

@@ -15,3 +15,10 @@ def test_vec_series_whole_has_every_vector(spark, small):
     sizes = {r.vec_id: len(r.embedding) for r in T.read(spark, small, "embeddings").collect()}
     got = {r.query_id: r["count"] for r in QUERIES["vec_series_whole"](spark, small).groupBy("query_id").count().collect()}
     assert got == sizes and any(i % 10 for i in got)
+
+
+def test_report_corpus_whole_reads_documents_past_the_scan_limit(spark, tmp_path):
+    rows = [(i, "a text of some length, long enough", "s") for i in (1, 2, 800, 900)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [r.n for r in QUERIES["report_corpus_whole"](spark, str(tmp_path)).collect()] == [4]
