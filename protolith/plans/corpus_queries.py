@@ -226,6 +226,14 @@ def union_distinct(spark, sf):
     return C.union_distinct(d.filter("n_chars < 300").select("text"), d.filter("n_chars < 500").select("text"), T.read(spark, sf, "benchmark").select("text"))
 
 
+@query("SELECT DISTINCT text FROM (SELECT text FROM documents WHERE n_chars < 500 UNION ALL SELECT text FROM documents WHERE coalesce(n_chars >= 300, TRUE) UNION ALL SELECT text FROM benchmark)")
+def union_distinct_whole(spark, sf):
+    """Two overlapping parts that cover all documents, and the benchmark."""
+    d = docs(spark, sf)
+    long = F.coalesce(F.col("n_chars") >= 300, F.lit(True))
+    return C.union_distinct(d.filter("n_chars < 500").select("text"), d.filter(long).select("text"), T.read(spark, sf, "benchmark").select("text"))
+
+
 @query(f"WITH {Q} SELECT source, label, count(*) AS n FROM q GROUP BY source, label")
 def source_breakdown(spark, sf):
     return T.labelled(spark, sf).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))

@@ -22,3 +22,11 @@ def test_report_corpus_whole_reads_documents_past_the_scan_limit(spark, tmp_path
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [r.n for r in QUERIES["report_corpus_whole"](spark, str(tmp_path)).collect()] == [4]
+
+
+def test_union_distinct_whole_has_long_texts_and_unknown_lengths(spark, tmp_path):
+    rows = [(1, "short", 5), (2, "x" * 400, 400), (3, "y" * 900, 900), (4, "unknown", None), (5, "short", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "short"), (2, "item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(r.text for r in QUERIES["union_distinct_whole"](spark, str(tmp_path)).collect())
+    assert got == sorted({r[1] for r in rows} | {"item"})
