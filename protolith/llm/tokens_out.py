@@ -3,7 +3,8 @@
 Documents are range-partitioned and sorted by id, encoded with the tokenizers
 library's merges, ended with an end id, and packed into blocks.  In each block
 the most frequent pairs of neighbouring symbols are replaced by new symbols,
-round after round.  The pairs of one round are chosen so that no symbol is the
+round after round, until no pair occurs ``LEAST`` times or the symbols run out.
+The pairs of one round are chosen so that no symbol is the
 left of one and the right of another: their occurrences can't overlap, so doing
 them together equals doing them one by one.
 
@@ -43,7 +44,6 @@ from protolith.llm.bpe import SPACE as BLANK
 
 #: Tokens of a block, about; a longer document has a block of its own.
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 8
 #: New symbols in a round at most, and the least count that pays for one.
 ROUND_PAIRS, LEAST = 1024, 12
 STRIDE = 1024
@@ -113,7 +113,7 @@ class Encoder:
 def repair(tokens: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right) of a Re-Pair grammar for the tokens."""
     s, rules = tokens.astype(np.uint16), []
-    for _ in range(ROUNDS):
+    while True:
         room = min(ROUND_PAIRS, 65536 - vocabulary - len(rules))
         if len(s) < 2 or room <= 0:
             break

@@ -1,8 +1,9 @@
 """Operators whose method must decide the result, and rows that a shortcut would lose."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from protolith.llm import exact, near
+from protolith.llm import exact, near, tokens_out
 
 
 def test_a_false_negative_of_the_filter_changes_the_result(spark, monkeypatch):
@@ -26,3 +27,11 @@ def test_a_text_of_a_repeated_id_stays_where_no_copy_of_it_does(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = near.one_of_each(docs)
     assert got.columns == docs.columns and sorted(r.source for r in got.collect()) == ["v", "w", "x", "z"]
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    document = np.random.default_rng(4).permutation(2000).astype(np.uint32)
+    block = tokens_out.Block(tokens_out.pack([document] * 40, 50257))
+    assert (block.all() == np.tile(document, 40)).all() and (block.document(17) == document).all()
+    pairs, n = np.unique(np.stack([block.symbols[:-1], block.symbols[1:]]), axis=1, return_counts=True)
+    assert n.max(initial=0) < tokens_out.LEAST and block.length.max() >= 2000
