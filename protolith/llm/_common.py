@@ -23,11 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables.
+
+    Where the session names none, a local master (tests, a laptop) gets a temporary
+    folder; on a cluster that would be one machine's, so there it is an error.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="protolith-"))
         root = sc._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
@@ -45,7 +51,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pl_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_pl_path", None):
+            sc = t.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key is hot when it holds more than this part of all rows, and at least HOT_ROWS: so there are at most HOT_PARTS of them.
+HOT_PARTS, HOT_ROWS = 2000, 256
+
+
+def hot_keys(counts: DataFrame) -> DataFrame:
+    """Of (key, n): the hot keys and into how many parts each is dealt; at most ``HOT_PARTS`` rows by arithmetic."""
+    limit = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_PARTS)
+    return counts.filter(F.col("n") > limit).select(F.col("key").alias("__hot"), F.ceil(F.col("n") / limit).cast("int").alias("__parts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """Join on ``key``, of which ``right`` has few rows each, with hot keys dealt into parts by a hash of ``spread``.
+
+    The parts' right rows are copied, so no task gets all left rows of a hot key.
+    """
+    hot = F.broadcast(hot)  # at most HOT_PARTS rows
+    parts = F.coalesce("__parts", F.lit(1))
+    a = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("__hot", "__parts")
+    b = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__hot", "__parts")
+    return a.join(b, [key, "__part"], how).drop("__part")
 
 
 def crc_mod(col: Column, m: int) -> Column:
@@ -68,7 +107,8 @@ def ship(spark: SparkSession) -> None:
         return
     target = Path(tempfile.mkdtemp(prefix="protolith-")) / "protolith.zip"
     with zipfile.ZipFile(target, "w") as z:
-        for p in sorted((root / "protolith").rglob("*.py")):
-            z.write(p, p.relative_to(root))
+        for p in sorted((root / "protolith").rglob("*")):
+            if p.suffix in (".py", ".csv"):
+                z.write(p, p.relative_to(root))
     sc.addPyFile(str(target))
     sc._protolith_shipped = True

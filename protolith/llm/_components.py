@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protolith.llm._common import written
+from protolith.llm._common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,17 +24,24 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = roots.select(F.col("id").alias("root"), F.col("root").alias("above"))
             jumped = written(roots.join(up, "root").select("id", F.col("above").alias("root"), (F.col("above") < F.col("root")).alias("moved")), "cc-jump")
-            roots = jumped.select("id", "root")
+            discard(roots)
+            roots = jumped
             if jumped.filter("moved").isEmpty():
                 break
+        point = roots.select("id", "root")
         if labels is None:
-            labels = roots.withColumnRenamed("root", "component")
+            new = written(point.withColumnRenamed("root", "component"), "cc-labels")
         else:
-            to = roots.select(F.col("id").alias("component"), "root")
-            labels = written(labels.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "cc-labels")
-        a, b = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        left = left.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct()
-        left = written(left, "cc-edges")
+            to = point.select(F.col("id").alias("component"), "root")
+            new = written(labels.join(to, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "cc-labels")
+            discard(labels)
+        labels = new
+        a, b = point.select(F.col("id").alias("a"), F.col("root").alias("ra")), point.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+        fewer = left.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct()
+        fewer = written(fewer, "cc-edges")
+        discard(left, roots)
+        left = fewer
     if labels is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    discard(left)
     return labels
