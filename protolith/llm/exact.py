@@ -11,13 +11,16 @@ of one text from either side are compared before two groups become one.  A batch
 group that the filter denies, or whose bytes differ, is a new group.
 
 A digest's range is its first 16 bits modulo a number of ranges that grows with
-the snapshot, so a filter task holds about ``RANGE_KEYS`` digests at any size.
-Groups are aggregated before any shuffle; no task holds the rows of a group.
+the larger side, so a filter task holds about ``RANGE_KEYS`` digests at any size.
+Groups are aggregated before any shuffle, and where rows join their group a large
+group's rows are dealt into parts; no task holds the rows of a group.
 
 Defined results: null and blank texts are equal to the empty text and form one
 group; of a group the row with the most code points, then the smallest id, then
-a null id, stays; rows that repeat an id and a text are all reported with the
-same answer, and ``distinct_rows`` keeps one of them.  Other columns are not read.
+a null id, stays (so ties have one answer); rows that repeat an id and a text are
+all reported with the same answer, and ``distinct_rows`` keeps one of them; texts
+of any length are hashed whole; an empty table gives an empty result.  Other
+columns are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from protolith.llm._common import crc_mod, table, written
+from protolith.llm._common import crc_mod, discard, hot_keys, salted_join, table, written
 from protolith.llm._vec import mix
 
 #: Digests that one filter holds, about.
@@ -164,26 +167,31 @@ def dedup(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", text_co
     rows = written(digests(snapshot, id_col, text_col, in_batch=F.lit(False)).unionByName(digests(batch, id_col, text_col, in_batch=F.lit(True))), "exact-digests")
     old = written(grouped(rows.filter("NOT in_batch")), "exact-snapshot")
     new = written(grouped(rows.filter("in_batch")), "exact-batch")
-    ranges = max(1, min(65536, -(-old.count() // RANGE_KEYS)))
+    # by the larger side, so a task holds a bounded share of either
+    ranges = max(1, min(65536, -(-max(old.count(), new.count()) // RANGE_KEYS)))
     maybe = screened(new, snapshot_filters(old, ranges), ranges).filter("maybe").select("digest")
 
     # exact buckets, then the bytes of one text from each side
     both = written(maybe.join(old.select("digest", F.col("best.doc_id").alias("old_id")), "digest").join(new.select("digest", F.col("best.doc_id").alias("new_id")), "digest"), "exact-positives")
 
     def texts(docs, side):
-        own = docs.select(F.col(id_col).alias(f"{side}_id"), F.sha2(normalised(F.col(text_col)), 256).alias("d"), normalised(F.col(text_col)).alias(f"{side}_text"))
-        want = both.select(F.col(f"{side}_id").alias("best_id"), F.lower(F.hex("digest")).alias("best_d"))
-        # a group of null ids alone has a null id
-        return own.join(want, (F.col("d") == F.col("best_d")) & F.col(f"{side}_id").eqNullSafe(F.col("best_id")), "left_semi").dropDuplicates(["d"]).drop(f"{side}_id")
+        want = both.select(F.col(f"{side}_id").alias("best_id"), F.col("digest").alias("best_d"))
+        # a group of null ids alone has a null id; by id first, so only few texts are hashed again
+        own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).join(want, F.col("own_id").eqNullSafe(F.col("best_id")), "left_semi")
+        own = own.select("own_id", normalised(F.col("text")).alias(f"{side}_text")).withColumn("d", F.unhex(F.sha2(f"{side}_text", 256)))
+        return own.join(want, (F.col("d") == F.col("best_d")) & F.col("own_id").eqNullSafe(F.col("best_id")), "left_semi").dropDuplicates(["d"]).drop("own_id")
 
-    same = texts(snapshot, "old").join(texts(batch, "new"), "d").filter("old_text = new_text").select(F.unhex("d").alias("digest"), F.lit(True).alias("same"))
+    same = written(texts(snapshot, "old").join(texts(batch, "new"), "d").filter("old_text = new_text").select(F.col("d").alias("digest"), F.lit(True).alias("same")), "exact-same")
 
     # a batch group joins the snapshot's only by that; all others are new groups
     sides = old.withColumn("in_batch", F.lit(False)).unionByName(new.withColumn("in_batch", F.lit(True)))
     sides = sides.join(same, "digest", "left").withColumn("part", F.col("in_batch") & F.col("same").isNull())
     final = sides.groupBy("digest", "part").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"), F.collect_set("in_batch").alias("of"))
-    final = final.select("digest", F.explode("of").alias("in_batch"), F.col("best.doc_id").alias("keep_id"), "group_size")
-    return rows.join(final, ["digest", "in_batch"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    final = final.select("digest", F.explode("of").alias("of_batch"), F.col("best.doc_id").alias("keep_id"), "group_size")
+    hot = hot_keys(old.unionByName(new).groupBy(F.col("digest").alias("key")).agg(F.sum("n").alias("n")))
+    out = salted_join(rows, final, "digest", hot, "doc_id").filter("in_batch = of_batch").drop("of_batch")
+    discard(both)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def halves(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
