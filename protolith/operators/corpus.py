@@ -104,17 +104,25 @@ def shuffled(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Adds __rank, a reproducible random order within each group."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    return df.withColumn("__rank", F.row_number().over(w.orderBy(shuffled(key, seed), key)))
+def first_ranked(df: DataFrame, n: int, key: str = "query_id", seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """The first n rows (of each group) in a reproducible random order, with __rank.
+
+    Every task keeps its first n before anything is sent, so no task holds a group.
+    """
+    order = (shuffled(key, seed), key)
+    if by:
+        return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__rank") <= n)
+    return df.orderBy(*order).limit(n).withColumn("__rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))  # n rows
 
 
 def sample(df: DataFrame, n: int, key: str = "query_id", seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """n rows (of each group) without replacement, the same on every run."""
-    if by:
-        return hash_rank(df, key, seed, by).filter(F.col("__rank") <= n).drop("__rank")
-    return df.orderBy(shuffled(key, seed), key).limit(n)
+    return first_ranked(df, n, key, seed, by).drop("__rank")
+
+
+def hash_part(key: str, seed: int, parts: int) -> Column:
+    """One of so many disjoint random parts for each key, without an order: the same in every engine that has md5."""
+    return (F.conv(F.substring(shuffled(key, seed), 1, 8), 16, 10).cast("long") % parts).cast("int")
 
 
 def without(df: DataFrame, taken: DataFrame, on: str = "text") -> DataFrame:
@@ -131,11 +139,31 @@ def train_test(df: DataFrame, train: DataFrame, on: str = "text") -> DataFrame:
     return train.withColumn("split", F.lit("train")).unionByName(without(df, train, on).withColumn("split", F.lit("test")))
 
 
+def lowest(df: DataFrame, rank: Column, most: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of each group (by ``by``) that come first by ``rank``, as many as ``most`` says.
+
+    ``rank``: lower-case hexadecimal text, evenly spread, such as an md5.  ``most``:
+    (some of ``by``, __most), a row for each group or for several.  Rows are counted by the first
+    three digits of their rank; all in the prefixes before the edge stay, and only the rows of the prefix at the
+    edge are ranked, one part in 4096 of a group.
+    """
+    on = [c for c in most.columns if c != "__most"]
+    marked = df.withColumn("__digest", rank).withColumn("__prefix", F.substring("__digest", 1, 3))
+    counts = marked.groupBy(*by, "__prefix").agg(F.count(F.lit(1)).alias("__n"))  # 4096 rows for each group at most
+    upto = Window.partitionBy(*by).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
+    edges = counts.withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+    edges = edges.join(most, on) if on else edges.crossJoin(F.broadcast(most))  # one row
+    kept = marked.join(edges.filter(F.col("__before") < F.col("__most")), [*by, "__prefix"])
+    whole = F.col("__before") + F.col("__n") <= F.col("__most")
+    own = ["__digest", "__prefix", "__n", "__before", "__most"]
+    edge = kept.filter(~whole).withColumn("__rn", F.row_number().over(Window.partitionBy(*by, "__prefix").orderBy("__digest")))
+    return kept.filter(whole).drop(*own).unionByName(edge.filter(F.col("__rn") <= F.col("__most") - F.col("__before")).drop("__rn", *own))
+
+
 def balanced(df: DataFrame, rank: Column, label: str = "label") -> DataFrame:
-    """As many rows of each class as the smaller has, by ``rank`` within the class."""
-    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("__least"))
-    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(label).orderBy(rank)))
-    return ranked.crossJoin(F.broadcast(least)).filter(F.col("__rn") <= F.col("__least")).drop("__rn", "__least")  # one row
+    """As many rows of each class as the smaller has, by ``rank`` (as in ``lowest``) within the class."""
+    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("__most"))
+    return lowest(df, rank, least, (label,))
 
 
 def union_distinct(*parts: DataFrame) -> DataFrame:

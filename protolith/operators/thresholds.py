@@ -69,14 +69,26 @@ def product(scored: DataFrame, grid: DataFrame) -> DataFrame:
     return scored.crossJoin(F.broadcast(grid)).withColumn("correct", hit)  # the grid has a fixed number of points
 
 
-def exact_optimum(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, threshold, accuracy) over all thresholds that tell the scores apart: each distinct score, from below."""
-    by = scored.groupBy(*keys, "score").agg(F.sum((F.col("label") == 0).cast("long")).alias("safe"), F.sum((F.col("label") == 1).cast("long")).alias("danger"))
-    upto, whole = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    right = F.sum("danger").over(upto) + F.sum("safe").over(whole) - F.sum("safe").over(upto)
-    pts = by.withColumn("accuracy", right / F.sum(F.col("safe") + F.col("danger")).over(whole))
+def exact_optimum(scored: DataFrame, keys: Sequence[str] = KEYS, stretches: int = 4096) -> DataFrame:
+    """(keys, threshold, accuracy) over all thresholds that tell the scores apart: each distinct score, from below.
+
+    Counts run along the scores in two steps, over equal stretches of their range and
+    then within one, so no task sorts all scores of a key.
+    """
+    on = list(keys)
+    by = scored.groupBy(*on, "score").agg(F.sum((F.col("label") == 0).cast("long")).alias("safe"), F.sum((F.col("label") == 1).cast("long")).alias("danger"))
+    span = by.groupBy(*on).agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("safe").alias("all_safe"), F.sum("danger").alias("all_danger"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * stretches)).otherwise(F.lit(0))
+    by = by.join(span, on).withColumn("part", place)
+    totals = by.groupBy(*on, "part").agg(F.sum("safe").alias("s"), F.sum("danger").alias("d"))
+    before = Window.partitionBy(*on).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # stretches + 1 rows a key at most
+    totals = totals.select(*on, "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("s", "d")])
+    inside = Window.partitionBy(*on, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    pts = by.join(totals, [*on, "part"]).withColumns({"safe_low": F.col("s_before") + F.sum("safe").over(inside), "danger_low": F.col("d_before") + F.sum("danger").over(inside)})
+    right = F.col("danger_low") + F.col("all_safe") - F.col("safe_low")
+    pts = pts.withColumn("accuracy", right / (F.col("all_safe") + F.col("all_danger")))
     pick = F.min(F.struct((-F.col("accuracy")).alias("minus"), F.col("score"))).alias("x")
-    return pts.groupBy(*keys).agg(pick).select(*keys, F.col("x.score").alias("threshold"), (-F.col("x.minus")).alias("accuracy"))
+    return pts.groupBy(*on).agg(pick).select(*on, F.col("x.score").alias("threshold"), (-F.col("x.minus")).alias("accuracy"))
 
 
 def at_best(scored: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, Column]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +33,8 @@ def text_length(spark, sf):
     return docs(spark, sf).select("query_id", F.char_length("text").cast("long").alias("n"))
 
 
-@query("SELECT doc_id AS query_id, lower(substr(text, 1, 200)) AS low FROM documents")
-def text_lower(spark, sf):
-    return docs(spark, sf).select("query_id", F.lower(F.substring("text", 1, 200)).alias("low"))
-
-
 @query("SELECT doc_id AS query_id, lower(text) AS low FROM documents")
-def text_lower_whole(spark, sf):
+def text_lower(spark, sf):
     return docs(spark, sf).select("query_id", F.lower("text").alias("low"))
 
 
@@ -94,9 +92,10 @@ def quota_first_n(spark, sf):
     return C.first_n(T.labelled(spark, sf), 3, ("source", "label"), "query_id").select("query_id", "source", "label")
 
 
-@query(f"WITH {Q} SELECT query_id, label FROM q WHERE query_id < 300")
+@query(f"WITH {Q} SELECT query_id, label FROM q ORDER BY query_id LIMIT 300")
 def scan_limit(spark, sf):
-    return T.labelled(spark, sf).filter(F.col("query_id") < 300).select("query_id", "label")
+    """The first rows of a source, by number of rows."""
+    return T.labelled(spark, sf).select("query_id", "label").orderBy("query_id").limit(300)
 
 
 PREFIX = "c AS (SELECT doc_id, toxic, sum((toxic = 0)::INT) OVER w AS safe, sum((toxic = 1)::INT) OVER w AS danger FROM labels WINDOW w AS (ORDER BY doc_id))"
@@ -220,14 +219,8 @@ def balance_size(spark, sf):
     return T.labelled(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
 
 
-@query("SELECT DISTINCT text FROM (SELECT text FROM documents WHERE n_chars < 300 UNION ALL SELECT text FROM documents WHERE n_chars < 500 UNION ALL SELECT text FROM benchmark)")
-def union_distinct(spark, sf):
-    d = docs(spark, sf)
-    return C.union_distinct(d.filter("n_chars < 300").select("text"), d.filter("n_chars < 500").select("text"), T.read(spark, sf, "benchmark").select("text"))
-
-
 @query("SELECT DISTINCT text FROM (SELECT text FROM documents WHERE n_chars < 500 UNION ALL SELECT text FROM documents WHERE coalesce(n_chars >= 300, TRUE) UNION ALL SELECT text FROM benchmark)")
-def union_distinct_whole(spark, sf):
+def union_distinct(spark, sf):
     """Two overlapping parts that cover all documents, and the benchmark."""
     d = docs(spark, sf)
     long = F.coalesce(F.col("n_chars") >= 300, F.lit(True))
@@ -254,8 +247,8 @@ THREE = "s3 AS (SELECT *, floor((row_number() OVER (ORDER BY md5('42:' || query_
 
 def three_parts(spark, sf) -> DataFrame:
     """Shuffled into disjoint parts of 100; the three first are used."""
-    out = C.hash_rank(T.labelled(spark, sf), "query_id", 42)
-    return out.withColumn("part", F.floor((F.col("__rank") - 1) / 100).cast("int")).filter("part < 3")
+    out = C.first_ranked(T.labelled(spark, sf), 300)
+    return out.withColumn("part", F.floor((F.col("__rank") - 1) / 100).cast("int"))
 
 
 @query(f"WITH {Q}, {THREE} SELECT part, label, count(*) AS n FROM s3 WHERE part < 3 GROUP BY part, label")
@@ -269,42 +262,88 @@ def train_prefix(spark, sf):
     return C.first_n(T.labelled(spark, sf), 50 // 2, ("label",), "query_id").select("query_id", "label")
 
 
-@query(f"WITH {Q}, k AS (SELECT * FROM q WHERE length({STRIPPED}) BETWEEN 20 AND 2000 AND query_id < 800), c AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY query_id) AS rn FROM k) SELECT source, label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM c WHERE rn <= 5 GROUP BY source, label")
-def report_corpus(spark, sf):
-    """Scan limit, length band, quota by source and class, then the breakdown."""
-    kept = C.length_band(C.not_empty(T.labelled(spark, sf)).filter("query_id < 800"), 20, 2000)
-    return C.first_n(kept, 5, ("source", "label"), "query_id").groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
-
-
 @query(f"WITH {Q}, k AS (SELECT * FROM q WHERE length({STRIPPED}) BETWEEN 20 AND 2000), c AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY query_id) AS rn FROM k) SELECT source, label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM c WHERE rn <= 5 GROUP BY source, label")
-def report_corpus_whole(spark, sf):
+def report_corpus(spark, sf):
     """Length band, quota by source and class, then the breakdown, over all documents."""
     kept = C.length_band(C.not_empty(T.labelled(spark, sf)), 20, 2000)
     return C.first_n(kept, 5, ("source", "label"), "query_id").groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
-MINED = f"""{Q}, c AS (SELECT query_id, label, text, quality, sum((label = 1)::INT) OVER (ORDER BY query_id) AS danger FROM q),
-pf AS (SELECT * FROM c WHERE query_id <= coalesce((SELECT min(query_id) FROM c WHERE danger >= 40), 9223372036854775807)),
-lb AS (SELECT query_id, {FIRST} AS category, label FROM pf),
-bg AS (SELECT category FROM lb WHERE label = 1 GROUP BY category HAVING count(*) >= 2),
-cp AS (SELECT query_id, category, 1 AS label FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || query_id), query_id) AS rn FROM lb WHERE label = 1 AND category IN (SELECT category FROM bg)) WHERE rn <= 10),
-sf AS (SELECT query_id, 'safe' AS category, 0 AS label FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || query_id), query_id) AS rn FROM lb WHERE label = 0) WHERE rn <= (SELECT count(*) FROM cp))"""
+SHARES = {c: " + ".join(f"contains(lower(text), '{w}')::INT" for w in ws) for c, ws in KEYWORDS.items()}
+LARGEST = "CASE WHEN greatest({0}) <= 0.3 THEN 'general' {1} END".format(
+    ", ".join(f"sh_{c}" for c in KEYWORDS), " ".join(f"WHEN sh_{c} = greatest({', '.join(f'sh_{k}' for k in KEYWORDS)}) THEN '{c}'" for c in KEYWORDS)
+)
+CAP, SMALLEST, DANGER_QUOTA = 10, 2, 40
+MINED = f"""{Q}, c AS (SELECT *, sum((label = 1)::INT) OVER (ORDER BY query_id) AS danger FROM q),
+pf AS (SELECT query_id, text, CASE WHEN quality = 0 OR label = 1 THEN 1 WHEN quality = 1 AND label = 0 THEN 0 END AS label FROM c WHERE query_id <= coalesce((SELECT min(query_id) FROM c WHERE danger >= {DANGER_QUOTA}), 9223372036854775807)),
+ra AS (SELECT query_id, text, {FIRST} AS category, label FROM pf WHERE label IS NOT NULL),
+rs AS (SELECT doc_id AS query_id, text, CASE WHEN n_chars / 10000.0::DOUBLE < 0.3 THEN 0 ELSE 1 END AS label, {", ".join(f"({x})::DOUBLE / {len(KEYWORDS[c])} AS sh_{c}" for c, x in SHARES.items())} FROM documents WHERE n_chars / 10000.0::DOUBLE < 0.3 OR n_chars / 10000.0::DOUBLE > 0.6),
+rb AS (SELECT query_id, text, {LARGEST} AS category, label FROM rs),
+mn AS (SELECT text, category, label, min(query_id) AS query_id FROM (SELECT * FROM ra UNION ALL SELECT * FROM rb) GROUP BY text, category, label),
+dg AS (SELECT query_id, category FROM mn WHERE label = 1),
+bg AS (SELECT category FROM dg GROUP BY category HAVING count(*) >= {SMALLEST}),
+cp AS (SELECT query_id, category, 1 AS label FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || query_id), query_id) AS rn FROM dg WHERE category IN (SELECT category FROM bg)) WHERE rn <= {CAP}),
+su AS (SELECT text, min(query_id) AS query_id FROM mn WHERE label = 0 GROUP BY text),
+sf AS (SELECT query_id, 'safe' AS category, 0 AS label FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || query_id), query_id) AS rn FROM su) WHERE rn <= (SELECT count(*) FROM cp)),
+mined AS (SELECT * FROM cp UNION ALL SELECT * FROM sf)"""
+
+
+def mined(spark, sf) -> DataFrame:
+    """(query_id, category, label): a training set of capped categories and as many safe rows."""
+    rows = C.prefix_until(T.labelled(spark, sf), {"danger": (F.col("label") == 1, DANGER_QUOTA)}, "query_id")
+    rated = rows.withColumn("label", C.two_raters(1 - F.col("quality"), F.col("label"), 0, 1)).filter("label IS NOT NULL")
+    rated = rated.select("query_id", "text", C.first_match(F.col("text"), KEYWORDS).alias("category"), "label")
+    low = F.lower("text")
+    share = {c: functools.reduce(operator.add, [low.contains(w).cast("int") for w in ws]) / F.lit(float(len(ws))) for c, ws in KEYWORDS.items()}
+    banded = docs(spark, sf).withColumn("label", C.bands(F.col("n_chars") / F.lit(10000.0), 0.3, 0.6, strict=True)).filter("label IS NOT NULL")
+    banded = banded.select("query_id", "text", C.largest(share).alias("category"), "label")
+    # equal texts of both sources are one row; the digest keeps whole texts out of the shuffle
+    every = rated.unionByName(banded).withColumn("print", F.sha2("text", 256)).drop("text")
+    every = every.groupBy("print", "category", "label").agg(F.min("query_id").alias("query_id"))
+    danger = every.filter("label = 1").select("query_id", "category")
+    big = danger.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SMALLEST).select("category")
+    capped = C.sample(danger.join(big, "category", "left_semi"), CAP, by=("category",)).select("query_id", "category", F.lit(1).alias("label"))
+    size = capped.agg(F.count(F.lit(1)).alias("__n"))
+    safe = every.filter("label = 0").groupBy("print").agg(F.min("query_id").alias("query_id"))
+    # at most CAP rows of each category, so as many safe rows at most
+    matched = C.first_ranked(safe, CAP * (len(KEYWORDS) + 1)).crossJoin(F.broadcast(size)).filter("__rank <= __n")  # one row
+    return capped.unionByName(matched.select("query_id", F.lit("safe").alias("category"), F.lit(0).alias("label")))
 
 
-@query(f"WITH {MINED} SELECT * FROM cp UNION ALL SELECT * FROM sf")
+@query(f"WITH {MINED} SELECT * FROM mined")
 def report_category_mining(spark, sf):
-    """Prefix until the danger quota, categories, least size, cap, and as many safe rows as dangerous ones."""
-    rows = C.prefix_until(T.labelled(spark, sf), {"danger": (F.col("label") == 1, 40)}, "query_id")
-    rows = rows.select("query_id", "label", C.first_match(F.col("text"), KEYWORDS).alias("category"))
-    danger, safe = rows.filter("label = 1"), rows.filter("label = 0")
-    big = danger.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("category")
-    capped = C.sample(danger.join(big, "category", "left_semi"), 10, by=("category",)).select("query_id", "category", F.lit(1).alias("label"))
-    size = capped.agg(F.count(F.lit(1)).alias("__n"))
-    matched = C.hash_rank(safe, "query_id", 42).crossJoin(F.broadcast(size)).filter("__rank <= __n")  # one row
-    return capped.unionByName(matched.select("query_id", F.lit("safe").alias("category"), F.lit(0).alias("label")))
+    """Two sources (two raters up to a danger quota; relaxed bands), their categories, least size, cap, and as many safe rows."""
+    return mined(spark, sf)
+
+
+# --- the embedder: documents as vectors, so that text categories can have prototypes
+
+#: em: the vectors of labelled documents at the last layer, as HashingEmbedder makes them.
+TOKENS = "list_slice(regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+'), 1, 128)"
+
+
+def embedded_sql(source: str, layers: str = "range(4)") -> str:
+    """CTEs up to em (query_id, layer, vec) for the rows (query_id, text) of a source."""
+    return f"""et AS (SELECT query_id, {TOKENS} AS w FROM {source}),
+eu AS (SELECT query_id, layer, len(w) AS n, unnest(w) AS tok FROM et, {layers} l(layer)),
+eh AS (SELECT query_id, layer, n, ('0x' || substr(md5(layer || ':' || tok), 1, 8))::BIGINT AS h FROM eu),
+es AS (SELECT query_id, layer, h % 16 AS dim, sum(CASE WHEN (h // 65536) % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE / max(n) AS x FROM eh GROUP BY ALL),
+em AS (SELECT query_id, layer, list(coalesce(x, 0::DOUBLE) ORDER BY dim) AS vec FROM (SELECT et.query_id, layer, dim FROM et, {layers} l(layer), range(16) r(dim)) LEFT JOIN es USING (query_id, layer, dim) GROUP BY query_id, layer)"""
 
 
-@query()
+@query(f"WITH d AS (SELECT doc_id AS query_id, text FROM documents), {embedded_sql('d')} SELECT query_id, layer::INT AS layer, (i - 1)::INT AS dim, vec[i] AS x FROM em, range(1, 17) r(i)")
 def embed_documents_hashing(spark, sf):
-    """Every document through the stand-in embedder; rows only, as SQL has no such model."""
-    return embed(docs(spark, sf), HashingEmbedder())
+    """Every document through the stand-in embedder, all layers from one pass."""
+    return embed(docs(spark, sf), HashingEmbedder()).select("query_id", "layer", F.posexplode("vec").alias("dim", "x"))
+
+
+@query("SELECT item_id, text FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, text FROM benchmark WHERE item_id % 2 = 1 UNION ALL SELECT item_id, NULL FROM benchmark")
+def struct_or_string(spark, sf):
+    """A prompt that is a string in one source, a struct in another, and neither in a third."""
+    b = T.read(spark, sf, "benchmark")
+    parts = (
+        b.filter("item_id % 2 = 0").select("item_id", F.col("text").alias("prompt")),
+        b.filter("item_id % 2 = 1").select("item_id", F.struct("text", F.lit(0.5).alias("toxicity")).alias("prompt")),
+        b.select("item_id", F.array("text").alias("prompt")),
+    )
+    return functools.reduce(DataFrame.unionByName, [p.select("item_id", T.text_field(p, "prompt").alias("text")) for p in parts])

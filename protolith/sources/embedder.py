@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from typing import Protocol
 
@@ -10,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+
 
 class Embedder(Protocol):
     """Loaded once for each task; ``embed`` gives (layer, vectors) for a batch of texts."""
@@ -22,20 +25,22 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """A deterministic stand-in for a model: each token adds a signed one at a hashed place.
 
-    Texts are cut to ``most`` tokens; the mean runs over a text's own tokens only,
-    so padding can't change it.  An empty text has the zero vector.
+    A token is a run of ``[^\\x20\\x09-\\x0D]`` of the lower-cased text; its place and
+    sign come from the first 32 bits of an md5, so SQL can state the model.  Texts are
+    cut to ``most`` tokens, as the model's window is; the mean runs over a text's own
+    tokens only, so padding can't change it.  An empty text has the zero vector.
     """
 
     def __init__(self, dim: int = 16, layers: Iterable[int] = (0, 1, 2, 3), most: int = 128):
         self.dim, self.layers, self.most = dim, tuple(layers), most
 
     def embed(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-        tokens = [t.lower().split()[: self.most] for t in texts]
+        tokens = [TOKEN.findall(t.lower())[: self.most] for t in texts]
         for layer in self.layers:
             out = np.zeros((len(texts), self.dim))
             for row, words in zip(out, tokens, strict=True):
                 for w in words:
-                    h = zlib.crc32(f"{layer}:{w}".encode())
+                    h = int(hashlib.md5(f"{layer}:{w}".encode()).hexdigest()[:8], 16)
                     row[h % self.dim] += 1.0 if h & 0x10000 else -1.0
                 row /= max(1, len(words))
             yield layer, out

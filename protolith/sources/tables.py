@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 LAYERS = 4
 LAYER_DIM = 16
@@ -17,6 +17,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_any(spark: SparkSession, path: str, format: str = "parquet", schema: str | StructType | None = None, **options) -> DataFrame:
+    """A local copy of a data set in any of Spark's formats: parquet, json (a row a line), csv, orc, text."""
+    reader = spark.read.format(format).options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
+
+
+def text_field(df: DataFrame, col: str, field: str = "text") -> Column:
+    """The text of a column that is a string in one source and a struct with ``field`` in another; NULL where neither."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, StructType):
+        return F.col(f"`{col}`.`{field}`").cast("string") if field in kind.fieldNames() else F.lit(None).cast("string")
+    return F.col(f"`{col}`").cast("string") if isinstance(kind, StringType) else F.lit(None).cast("string")
+
+
+def console(df: DataFrame, rows: int = 20) -> str:
+    """The first rows as a fixed-width table, whole values."""
+    return df._show_string(rows, False, False)
+
+
 def literal(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A corpus written in code."""
     return spark.createDataFrame(list(rows), schema)
@@ -34,10 +53,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def activations(spark: SparkSession, sf_dir: str, layers: Iterable[int] | None = None) -> DataFrame:
-    """The vectors, long by layer: layer k is the k-th stretch of 16 components."""
-    picked = list(range(LAYERS)) if layers is None else list(layers)
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), F.slice("vec", LAYER_DIM * k + 1, LAYER_DIM).alias("vec")) for k in picked]))
+def activations(spark: SparkSession, sf_dir: str, layers: Iterable[int] | None = None, dim: int = LAYER_DIM) -> DataFrame:
+    """The vectors, long by layer: layer k is the k-th stretch of ``dim`` components."""
+    picked = list(range(DIM // dim)) if layers is None else list(layers)
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), F.slice("vec", dim * k + 1, dim).alias("vec")) for k in picked]))
     return vectors(spark, sf_dir).withColumn("part", parts).select("query_id", "label", "cat", "split", "part.layer", "part.vec")
 
 
