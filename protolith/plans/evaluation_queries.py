@@ -15,6 +15,7 @@ from protolith.plans.registry import PRED, SCORES, TEST, best_of, cos, grid, que
 from protolith.plans.vector_queries import CATS, STEER, cat_vectors, mean_pairs
 from protolith.plans.vector_queries import test as test_rows
 from protolith.sources import tables
+from protolith.sources.scratch import stored, work_path
 
 SWEEP = (-0.05, 0.05, 200)
 
@@ -259,7 +260,7 @@ WIDE = (-0.15, 0.15, 200)
 
 
 def smart_scores(spark, sf) -> DataFrame:
-    s = scored(spark, sf)
+    s = stored(scored(spark, sf), "scores")  # read by three branches
     return E.smart(s, S.predicted(s), T.best(T.curve(s, *SWEEP)))
 
 
@@ -343,3 +344,42 @@ def report_max(spark, sf):
 def series_concat(spark, sf):
     a = M.accuracy(decided(spark, sf)).agg(F.array_sort(F.collect_list(F.struct("layer", "accuracy"))).alias("all"))  # a row for each layer
     return a.select(F.concat_ws("→", F.transform("all", lambda x: F.format_string("%.3f", x["accuracy"]))).alias("series"))
+
+
+# --- results on disk
+
+RESULT = "query_id bigint, layer int, label int, prediction int, score double, correct boolean"
+
+
+def results(spark, sf) -> DataFrame:
+    return decided(spark, sf).select("query_id", "layer", "label", "prediction", *r("score"), "correct")
+
+
+@query(f"WITH {PRED} SELECT query_id, layer, label, prediction, {r6('score')} AS score, correct FROM pd")
+def results_through_csv(spark, sf):
+    """The result rows as a CSV file with a header, read with a schema."""
+    path = work_path(spark, "results")
+    tables.write_csv(results(spark, sf), path)
+    return tables.read_csv(spark, path, RESULT)
+
+
+@query(f"WITH {PRED} SELECT layer, {r6('avg(correct::INT)')} AS accuracy FROM pd GROUP BY layer")
+def results_through_cache(spark, sf):
+    """Computed and written once, read after that, thrown away, and computed anew."""
+    path = work_path(spark, "cache")
+    tables.cached(spark, path, lambda: results(spark, sf))
+    tables.invalidate(spark, path)
+    return M.accuracy(tables.cached(spark, path, lambda: results(spark, sf))).select("layer", *r("accuracy"))
+
+
+@query("SELECT 'documents' AS origin, doc_id AS id, length(text) AS n FROM documents UNION ALL SELECT 'benchmark', item_id, length(text) FROM benchmark")
+def sources_that_can_be_read(spark, sf):
+    """A union of three sources, of which one is missing and is passed over."""
+    one = lambda name, key: lambda: tables.read(spark, sf, name).select(F.col(key).alias("id"), "text")
+    found, _ = tables.union_sources({"documents": one("documents", "doc_id"), "absent": one("absent", "id"), "benchmark": one("benchmark", "item_id")}, on_error="skip")
+    return found.select("origin", "id", F.char_length("text").cast("long").alias("n"))
+
+
+@query("SELECT column_name AS name, CASE data_type WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS kind FROM (DESCRIBE documents) d(column_name, data_type, a, b, c, d)")
+def schema_listing(spark, sf):
+    return tables.literal(spark, tables.describe(tables.read(spark, sf, "documents")), "name string, kind string")

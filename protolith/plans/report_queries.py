@@ -42,6 +42,7 @@ from protolith.plans.vector_queries import test as test_rows
 from protolith.plans.vector_queries import train as train_rows
 from protolith.sources import tables
 from protolith.sources.embedder import HashingEmbedder, embed
+from protolith.sources.scratch import stored
 
 
 @query(f"""WITH {MID} SELECT s.layer, s.label, count(*) AS n, sum(((CASE WHEN score > threshold THEN 0 ELSE 1 END) = s.label)::INT)::BIGINT AS n_correct, {r6('max(threshold)')} AS threshold
@@ -222,6 +223,7 @@ ENSEMBLE_ROWS = "SELECT 'majority_vote' AS method, avg((prediction = label)::INT
 
 
 def ensemble_rows(pred: DataFrame) -> DataFrame:
+    pred = stored(pred.select("query_id", "layer", "label", "score", "prediction", "correct"), "predictions")  # read by four branches
     one = lambda df, n: df.agg(F.avg(F.col("correct").cast("double")).alias("a")).withColumn("method", F.lit(n))
     weights = E.accuracy_weights(pred)
     votes, summed = E.majority_vote(pred), S.predicted(E.weighted_scores(pred, weights))
@@ -253,7 +255,7 @@ SMART_BEST = f"{SMART}, {grid('gw', *WIDE)}, {sweep('se', 'en', 'gw')}, {best_of
 @query(weighted(f"WITH {SMART_BEST} SELECT idx, {r6('t')} AS t, {r6('accuracy')} AS accuracy FROM be"))
 def report_smart_ensemble(spark, sf):
     """The three layers that do best with weighted prototypes, their scores weighted by accuracy, at the best threshold."""
-    s = weighted_scored(spark, sf)
+    s = stored(weighted_scored(spark, sf), "scores")  # read by three branches
     return E.evaluate(E.smart(s, S.predicted(s), T.best(T.curve(s, *SWEEP))), *WIDE).select("idx", *r("t", "accuracy"))
 
 
@@ -458,3 +460,30 @@ def report_cross_model(spark, sf):
 def cross_model_comparison(spark, sf):
     at = lambda k: V.rounded(F.max(F.when(F.col("model") == k, F.col("accuracy")))).alias(f"model_{k}")
     return model_best(spark, sf).groupBy("layer").agg(*map(at, range(3)))
+
+
+# --- fixed values: published results that the overview shows beside computed ones
+
+ACCURACY = [("tone", "gpt2", 38.5), ("tone", "qwen", 50.0), ("content", "gpt2", 92.5), ("content", "qwen", 100.0)]
+SEPARATION = [("gpt2", 1, 0.001), ("gpt2", 6, 0.002), ("gpt2", 11, 0.0025), ("gpt2", 18, 0.004), ("gpt2", 23, 0.004905), ("qwen", 1, 0.257812), ("qwen", 18, 0.003), ("qwen", 20, 0.002), ("qwen", 27, 0.023926), ("qwen", 28, 0.010742)]
+
+
+def values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in row) + ")" for row in rows)
+
+
+@query(f"SELECT model, max(CASE WHEN approach = 'tone' THEN accuracy END) AS tone, max(CASE WHEN approach = 'content' THEN accuracy END) AS content, max(CASE WHEN approach = 'content' THEN accuracy END) - max(CASE WHEN approach = 'tone' THEN accuracy END) AS gain FROM (VALUES {values(ACCURACY)}) v(approach, model, accuracy) GROUP BY model")
+def published_accuracy(spark, sf):
+    """Both approaches of each model, and what the second gains."""
+    rows = tables.literal(spark, ACCURACY, "approach string, model string, accuracy double")
+    at = lambda a: F.max(F.when(F.col("approach") == a, F.col("accuracy")))
+    return rows.groupBy("model").agg(at("tone").alias("tone"), at("content").alias("content"), (at("content") - at("tone")).alias("gain"))
+
+
+@query(f"WITH s AS (SELECT * FROM (VALUES {values(SEPARATION)}) v(model, layer, separation)) SELECT model, layer::INT AS layer, separation, {r6('separation / (SELECT max(separation) FROM s WHERE model = $$gpt2$$)')} AS strength, (row_number() OVER (PARTITION BY model ORDER BY separation DESC, layer))::INT AS rank FROM s")
+def published_layers(spark, sf):
+    """Layers by separation, each beside the best of the first model."""
+    rows = tables.literal(spark, SEPARATION, "model string, layer int, separation double")
+    best = rows.filter("model = 'gpt2'").agg(F.max("separation").alias("best"))
+    out = M.ranked(rows, "separation", "layer", by=("model",)).crossJoin(F.broadcast(best))  # one row
+    return out.select("model", "layer", "separation", V.rounded(F.col("separation") / F.col("best")).alias("strength"), "rank")

@@ -18,6 +18,8 @@ class Embedder(Protocol):
     """Loaded once for each task; ``embed`` gives (layer, vectors) for a batch of texts."""
 
     layers: tuple[int, ...]
+    #: Numbers that the model has learned.
+    parameters: int
 
     def embed(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]: ...
 
@@ -31,6 +33,8 @@ class HashingEmbedder:
     tokens only, so padding can't change it.  An empty text has the zero vector.
     """
 
+    parameters = 0
+
     def __init__(self, dim: int = 16, layers: Iterable[int] = (0, 1, 2, 3), most: int = 128):
         self.dim, self.layers, self.most = dim, tuple(layers), most
 

@@ -112,6 +112,16 @@ def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame], ref
     return spark.read.parquet(path)
 
 
+def invalidate(spark: SparkSession, *paths: str) -> list[str]:
+    """Deletes the listed caches where they exist, and returns those."""
+    gone = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True):
+            gone.append(path)
+    return gone
+
+
 def describe(df: DataFrame) -> list[tuple[str, str]]:
     """Names and types of the columns."""
     return df.dtypes

@@ -19,6 +19,13 @@ def test_any_format_is_read(spark, tmp_path):
         assert sorted(map(repr, T.read_any(spark, str(tmp_path / form), form, df.schema).collect())) == sorted(map(repr, df.collect()))
 
 
+def test_caches_are_invalidated(spark, tmp_path):
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    T.cached(spark, one, lambda: spark.range(3).toDF("id"))
+    assert T.invalidate(spark, one, two) == [one]
+    assert T.cached(spark, one, lambda: spark.range(5).toDF("id")).count() == 5
+
+
 def test_text_of_a_string_a_struct_or_neither(spark):
     rows = spark.sql("SELECT 'a' AS plain, named_struct('text', 'b', 'x', 1) AS nested, named_struct('y', 'c') AS other, array('d') AS list")
     got = rows.select(*[T.text_field(rows, c).alias(c) for c in rows.columns]).first()
@@ -73,3 +80,19 @@ def test_embedder_against_its_definition(spark):
                 h = int(hashlib.md5(f"{layer}:{w}".encode()).hexdigest()[:8], 16)
                 want[h % 16] += 1 if h >> 16 & 1 else -1
             assert got[i, layer] == pytest.approx([x / max(1, len(words)) for x in want])
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace as N
+
+    from protolith.sources.scratch import work_path, work_root
+
+    def session(master, named=None, set_=None):
+        folder = N(isEmpty=lambda: set_ is None, get=lambda: set_)
+        return N(sparkContext=N(master=master, getConf=lambda: {"spark.checkpoint.dir": named}, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: folder))))
+
+    assert work_root(session("spark://m:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert work_root(session("yarn", None, "hdfs://z")) == "hdfs://z"
+    with pytest.raises(RuntimeError):
+        work_root(session("yarn"))
+    assert work_path(spark, "a") != work_path(spark, "a")
