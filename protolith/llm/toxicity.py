@@ -12,15 +12,21 @@ clean texts follows an extreme-value law, P(S >= x) = 1 - exp(-K n exp(-x L)) fo
 n tokens; K and L are fitted to clean labelled texts.  A segment is a significant
 passage when clean text of that length has one with a chance under
 ``SIGNIFICANT``, and a document's score is a logistic function of the best
-segment's.  Counts come from three quarters of the training sample, the law and
-the logistic function from the rest.
+segment's.  The law and the logistic function are fitted to segments that each
+training document has under the counts of the ``FOLDS`` - 1 parts it isn't in; the
+final counts are of all parts.
 
 Training reads at most about ``FIT_ROWS`` labelled documents of each class,
-chosen by a hash of the id; scoring reads whole texts of any length.
+chosen by a hash of the id, and learns at most ``MOST_KEYS`` words and stems, those
+of most documents.  A word that one training document alone holds has no entry and
+scores as its longest known stem does.  Scoring reads whole texts of any length.
 
 Defined results: null or empty text has no passage and the score of a text
 without evidence; where one class has no labelled row every score is 0; labels
-of a repeated id count as toxic if any is; a null id or label is not learned from.
+of a repeated id count as toxic if any is; a null id or label is not learned from;
+documents that repeat an id are each scored and each learned from; of segments
+with equal scores the first is kept; an empty table gives an empty result, and
+only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -30,11 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protolith.llm._common import crc_mod, table, uniform
+from protolith.llm._common import crc_mod, discard, table, uniform, written
 from protolith.llm._vec import LOWER, chunks, flat, hash_words, per_text, words_between
 
 #: Labelled documents of each class that are learned from, about.
 FIT_ROWS = 6000
+#: Words and stems that are learned at most.
+MOST_KEYS = 1 << 20
+#: Parts of the training documents, each scored by the counts of the others.
+FOLDS = 4
 #: Strength of each prior in the chain, in documents.
 PRIOR = 8.0
 #: Taken from each token's log-odds.
@@ -204,41 +214,58 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     if len(have) < 2:
         return model
     share = F.when(F.col("y") > 0, min(1.0, rows / have[1])).otherwise(min(1.0, rows / have[0]))
-    marks = marks.filter(uniform(F.col("doc_id"), 12) < share).select(F.col("doc_id").alias("__id"), (F.col("y") > 0).alias("y"), (uniform(F.col("doc_id"), 13) < 0.75).alias("counts"))
+    marks = marks.filter(uniform(F.col("doc_id"), 12) < share).select(F.col("doc_id").alias("__id"), (F.col("y") > 0).alias("y"), F.floor(uniform(F.col("doc_id"), 13) * FOLDS).cast("int").alias("fold"))
     # about 2 * rows ids of a few bytes each: a bounded side
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "__id").select("y", "counts", "text").repartition(min(64, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "__id").select("y", "fold", "text").repartition(min(64, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    sample = written(sample, "tox-sample")
 
     def count(batches):
-        rows, n = [], np.zeros(2, np.int64)
+        rows, n = [], np.zeros((FOLDS, 2), np.int64)
         for b in batches:
             for part in chunks(b, "text"):
-                y = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
-                n += [int(y.sum()), int((~y).sum())]
+                y, fold = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), part.column(1).to_numpy().astype(np.int64)
+                np.add.at(n, (fold, y), 1)
                 data, _, starts, ends, own = tokens(part.column(2))
                 doc = np.repeat(np.arange(len(y)), np.diff(own))
                 for level, has, key, parent in _levels(data, starts, ends):
                     once = np.unique(np.stack([doc[has].astype(np.uint64), key[has], parent[has]]), axis=1) if has.any() else np.zeros((3, 0), np.uint64)
-                    rows.append((np.full(once.shape[1], level), once[1], once[2], y[once[0].astype(int)]))
-        level, key, parent, toxic = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(parent.astype(np.uint64).view(np.int64)), pa.array(toxic.astype(np.int64)), pa.array(1 - toxic.astype(np.int64))], names=["level", "key", "parent", "toxic", "clean"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0]), pa.array([0]), pa.array([n[0]]), pa.array([n[1]])], names=["level", "key", "parent", "toxic", "clean"])
-
-    seen = sample.filter("counts").mapInArrow(count, "level int, key long, parent long, toxic long, clean long").groupBy("level", "key").agg(F.first("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # words of one document say no more than their stems; the table is bounded by the sample
-    seen = seen.filter((F.col("level") < len(STEMS)) | (F.col("toxic") + F.col("clean") >= 2)).toArrow()
-    level, key, parent, toxic, clean = (seen.column(c).to_numpy() for c in ("level", "key", "parent", "toxic", "clean"))
-    total = np.flatnonzero(level < 0)
-    if not len(total) or not toxic[total[0]] or not clean[total[0]]:
+                    at = once[0].astype(int)
+                    rows.append((np.full(len(at), level), once[1], once[2], fold[at], y[at], 1 - y[at]))
+        # the numbers of documents stand under level -1
+        f = np.arange(FOLDS)
+        rows.append((np.full(FOLDS, -1), np.zeros(FOLDS, np.uint64), np.zeros(FOLDS, np.uint64), f, n[:, 1], n[:, 0]))
+        level, key, parent, fold, toxic, clean = (np.concatenate(x) for x in zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(parent.view(np.int64)), pa.array(fold.astype(np.int32)), pa.array(toxic.astype(np.int32)), pa.array(clean.astype(np.int32))], names=["level", "key", "parent", "fold", "toxic", "clean"])
+
+    of = lambda c, f: F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).cast("int").alias(f"{c}{f}")
+    seen = sample.mapInArrow(count, "level int, key long, parent long, fold int, toxic int, clean int").groupBy("level", "key").agg(F.first("parent").alias("parent"), F.sum(F.col("toxic") + F.col("clean")).alias("n"), *[of(c, f) for c in ("toxic", "clean") for f in range(FOLDS)])
+    seen = seen.filter((F.col("level") < len(STEMS)) | (F.col("n") >= 2)).orderBy(F.col("level") >= 0, F.desc("n"), "level", "key").limit(MOST_KEYS).toArrow()
+    level, key, parent = (seen.column(c).to_numpy() for c in ("level", "key", "parent"))
+    toxic, clean = (np.stack([seen.column(f"{c}{f}").to_numpy() for f in range(FOLDS)]).astype(np.int64) for c in ("toxic", "clean"))
+    key, parent, total = key.view(np.uint64), parent.view(np.uint64), np.flatnonzero(level < 0)
+
+    def learned(model: Model, skip: int) -> Model:
+        t, c = (x.sum(0) - (x[skip] if skip >= 0 else 0) for x in (toxic, clean))
+        if len(total) and t[total[0]] and c[total[0]]:
+            held = (level >= 0) & (t + c > 0)
+            model.learn(level[held], key[held], parent[held], t[held], c[held], int(t[total[0]]), int(c[total[0]]))
         return model
-    model.learn(level, key.view(np.uint64), parent.view(np.uint64), toxic, clean, int(toxic[total[0]]), int(clean[total[0]]))
+
+    if not learned(model, -1).known:
+        discard(sample)
+        return model
+    others = docs.sparkSession.sparkContext.broadcast([learned(Model(), f) for f in range(FOLDS)])  # bounded by MOST_KEYS
 
     def best(batches):
         for b in batches:
             for part in chunks(b, "text"):
-                got = [(n, max([s for s, _, _ in found], default=0.0)) for n, found, _ in model.passages(part.column(2))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], names=["y", "n", "best"])
+                for f, other in enumerate(others.value):
+                    mine = part.filter(pa.array(part.column(1).to_numpy() == f))
+                    got = [(n, max([s for s, _, _ in found], default=0.0)) for n, found, _ in other.passages(mine.column(2))] if other.known else []
+                    yield pa.RecordBatch.from_arrays([mine.column(0) if got else pa.array([], pa.bool_()), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], names=["y", "n", "best"])
 
-    rest = sample.filter("NOT counts").mapInArrow(best, "y boolean, n long, best double").toArrow()  # bounded by the sample
+    rest = sample.mapInArrow(best, "y boolean, n long, best double").toArrow()  # bounded by the sample
+    discard(sample)
     y, n, top = rest.column("y").to_numpy().astype(bool), np.maximum(rest.column("n").to_numpy(), 1).astype(float), rest.column("best").to_numpy()
     if y.any() and not y.all():
         model.law = fit_law(top[~y], n[~y])
