@@ -11,18 +11,22 @@ target of f passes over a source takes every document floor(f) times, and once
 more those that lie in the first part of that order; whole documents are taken,
 so a source misses its target by at most half of the document at the cut.
 
-Running sums inside a source are taken in two steps, over 4096 slices of the md5
-order and then within a slice, so no task holds a whole source.
+Running sums inside a source are taken in two steps, over slices of the md5 order,
+as many as leave about ``SLICE_ROWS`` rows in each, and then within a slice, so no
+task holds a whole source.  Sums over the sources are taken in ranges likewise.
 
 Defined results: null text has size 0 and is taken 0 times with no position; a
 null source is a source of its own, the last; null ids share one place in the
-order and are ordered by size; repeated rows are separate documents.  An empty
-table gives an empty result.  Only the named columns are read, so others may
+order and are ordered by size; repeated rows are separate documents (``curriculum``
+gives all of them the positions of the first); texts of any length count whole.  An
+empty table gives an empty result.  Only the named columns are read, so others may
 have any name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.75), (1.0, 1.25)), ((0.0, 0.5), (1.0, 1.5)))
 SHARE = 1.5
 CAP = 2.0
+#: Rows of a slice, about; 4096 slices a source at least.
+SLICE_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,27 +63,42 @@ def inverse_demand(q: Column, times: Column, weights: Column, demand: Column) ->
     return t0 + F.when(w0 + root > 0, 2 * c / (w0 + root)).otherwise(0.0)
 
 
+def _ranged(df: DataFrame, order: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """Adds, for each sum, its running total before the row in this order, and its total.
+
+    The rows are dealt into ranges of the order; totals of the ranges, a row for
+    each, are summed up first, then the rows inside a range, so no task holds all.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "mix-ranges")
+    per = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    every, upto = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__range", *[F.coalesce(F.sum(f"__{n}").over(upto), F.lit(0)).alias(f"__{n}_before") for n in sums], *[F.sum(f"__{n}").over(every).alias(f"{n}_total") for n in sums])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(per, "__range").withColumns({f"{n}_before": F.col(f"__{n}_before") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    return out.drop("__range", *[f"__{n}_before" for n in sums])
+
+
 def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, schedules=SCHEDULES) -> DataFrame:
     """Adds weight, target and schedule to (src, source, source_size).
 
-    The water level L solves sum(min(cap * size, L * weight)) = share * total;
-    it is found from running sums over the sources by the level at which each is
-    full, so it needs one pass over a table of sources and no iteration.
+    ``src`` sorts as the sources do, null last.  The water level L solves
+    sum(min(cap * size, L * weight)) = share * total; it is found from running sums over
+    the sources by the level at which each is full, without iteration.
     """
-    everything = Window.partitionBy(F.lit(1))
-    turn = (F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1).cast("int")
-    full = everything.orderBy("full_at", "turn")
+    named = _ranged(per_source, ("src",), {"place": F.lit(1), "size": F.col("source_size")})
     levels = (
-        per_source.withColumn("turn", turn)
+        named.withColumn("turn", F.col("place_before").cast("int"))
         .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("turn") % len(weights) + 1))
         .withColumn("most", F.col("source_size") * F.lit(cap))
         .withColumn("full_at", F.col("most") / F.col("weight"))
-        .withColumn("goal", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("before", F.coalesce(F.sum("most").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("left", F.sum("weight").over(full.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("goal") - F.col("before")) / F.col("left"))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "turn", "level"))).over(everything)["level"])
+        .withColumn("goal", F.col("size_total") * F.lit(share))
+        .select("src", "source_size", "turn", "weight", "most", "full_at", "goal")
     )
+    filled = _ranged(levels, ("full_at", "turn"), {"most": F.col("most"), "weight": F.col("weight")})
+    level = (F.col("goal") - F.col("most_before")) / (F.col("weight_total") - F.col("weight_before"))
+    fits = filled.withColumn("level", level).filter(F.col("level") <= F.col("full_at"))
+    found = fits.agg(F.min(F.struct("full_at", "turn", "level")).getField("level").alias("level"))
+    levels = filled.crossJoin(F.broadcast(found))  # one row
     plan = F.array(*[F.struct(*[F.array(*map(F.lit, map(float, x))).alias(n) for n, x in (("t", [a for a, _ in s]), ("w", [b for _, b in s]), ("d", integrated(s)))]) for s in schedules])
     return levels.select(
         "src", "source_size", F.least("most", F.col("level") * F.col("weight")).alias("target"), F.element_at(plan, F.col("turn") % len(schedules) + 1).alias("schedule")
@@ -101,9 +122,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("")))).alias("ord"),
             *[c.alias(n) for n, c in keys.items()],
-        ).withColumn("slice", F.substring("ord", 1, 3)),
+        ),
         "mix-sized",
     )
+    digits = max(3, math.ceil(math.log(max(1, sized.count() / SLICE_ROWS), 16)))
+    sized = sized.withColumn("slice", F.substring("ord", 1, digits))
     slices = sized.groupBy("src", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("slice_size"))
     goal = targets(slices.groupBy("src").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size")), weights, share, cap, schedules)
     upto = Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +156,7 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.columns
     print_of = F.xxhash64(F.col(text_col))
     seen = mix(docs, id_col, text_col, source_col, **options, keys={"print": print_of})
-    seen = seen.filter("copies > 0").groupBy(F.col("doc_id").alias("__pl_id"), F.col("source").alias("__pl_source"), F.col("print").alias("__pl_print")).agg(F.max("positions").alias("__pl_at"))
+    seen = seen.filter("copies > 0").groupBy(F.col("doc_id").alias("__pl_id"), F.col("source").alias("__pl_source"), F.col("print").alias("__pl_print")).agg(F.min("positions").alias("__pl_at"))
     rows = docs.join(seen, F.col(id_col).eqNullSafe(F.col("__pl_id")) & F.col(source_col).eqNullSafe(F.col("__pl_source")) & (print_of == F.col("__pl_print")))
     rows = rows.select(*[F.col(f"`{c}`") for c in own], F.explode("__pl_at").alias("__pl_position"))
     return rows.repartitionByRange(F.col("__pl_position"), F.col(id_col)).sortWithinPartitions("__pl_position", id_col).select(*[F.col(f"`{c}`") for c in own])
