@@ -21,4 +21,4 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (bpe.op1_bpe, language.op2_language_id, mix.op3_mix_sources, secrets.op4_secret_scan, near.op5_near_dedup, tokens_out.op6_token_output, urls.op7_url_filter, exact.op8_exact_dedup, embeddings.op9_embedding_dedup, toxicity.op10_toxicity)
 }
-SQL = {"op3_mix_sources": mix.SQL, "op7_url_filter": urls.SQL, "op8_exact_dedup": exact.SQL}
+SQL = {"op3_mix_sources": mix.SQL, "op7_url_filter": urls.sql(), "op8_exact_dedup": exact.SQL}
