@@ -1,48 +1,27 @@
 """Session-level helpers that the corpus operators share.
 
 Intermediate tables go to the shared folder that the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder of
-our own is created.
+``spark.checkpoint.dir`` (``protolith.sources.scratch``).
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from protolith.sources.scratch import work_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    Where the session names none, a local master (tests, a laptop) gets a temporary
-    folder; on a cluster that would be one machine's, so there it is an error.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="protolith-"))
-        root = sc._jsc.sc().getCheckpointDir().get()
-    return root.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{work_root(spark)}/protolith/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a plain scan.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from protolith.llm import embeddings, exact, mix, near
 from protolith.llm import registry as R
+from protolith.llm import _components
 from protolith.llm._components import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -175,7 +176,9 @@ def test_near_misses_of_one_template_are_not_confirmed_pair_by_pair(spark, monke
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(9, 9)], [(5, 3), (3, 8), (20, 10), (8, 21), (30, 31)]])
-def test_components(spark, edges):
+@pytest.mark.parametrize("few", [0, 3, 1 << 17])
+def test_components(spark, monkeypatch, edges, few):
+    monkeypatch.setattr(_components, "FEW_EDGES", few)
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     nodes = {n for e in edges if e[0] != e[1] for n in e}
     find = Find(nodes)
