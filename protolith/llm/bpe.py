@@ -17,9 +17,12 @@ for BPE files whose normaliser is NFC, white space and lower case, whose words
 are contractions, letter runs, single digits and runs of other signs, and which
 decode to the tokens joined by spaces.
 
-Defined results: null text counts as empty and has no ids; texts of any length
-are encoded whole; the ids of equal texts are equal.  Only the named columns are
-read.
+Defined results: null text counts as empty and has no ids; a null id is returned
+with its text's ids; texts of any length are encoded whole, in batches of about
+``BATCH_BYTES``; repeated rows are all returned, and the ids of equal texts are
+equal; ties in frequency at the lexicon's bound leave all words of that count out,
+which changes no ids; an empty table has an empty lexicon and an empty result.
+Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -42,19 +45,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protolith.llm._common import table, written
-from protolith.llm._vec import Memo, all_below, chunks, code_points, distinct_words, gathered, hash_words
+from protolith.llm._common import discard, table, written
+from protolith.llm._vec import WordTable, all_below, as_bytes, chunks, code_points, hash_words
 
 #: Words in the lexicon at most; the others are merged, so this bounds memory and changes no result.
 LEXICON_WORDS = 1 << 17
-#: Distinct words that a worker remembers beside the lexicon.
+#: Distinct words whose ids a worker remembers, beside the mapped lexicon.
 MEMO_WORDS = 400_000
 #: Texts that are encoded at once, in bytes, about.
 BATCH_BYTES = 1_500_000
 #: Code points below this have a class of their own in the fast path.
 FAST = 0x250
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
-_CLASS = np.array([SPACE if c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0) else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(FAST)], dtype=np.uint8)
+#: The class of each code point below FAST, and last that of all others.
+_CLASS = np.array([SPACE if c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0) else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(FAST)] + [OTHER], dtype=np.uint8)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -97,7 +101,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     n = len(units)
     if not n:
         return units, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    kind = np.where(units < FAST, _CLASS[np.minimum(units, FAST - 1)], OTHER)
+    kind = _CLASS.take(units, mode="clip")
     start = np.ones(n, dtype=np.uint8)  # 2: first of a text
     start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
     start[offs[:-1][offs[:-1] < n]] = 2
@@ -253,11 +257,15 @@ class Lexicon:
         return out
 
 
-def mapped(data: bytes) -> Lexicon:
-    """The lexicon as a file in this machine's temporary folder, mapped into memory and shared by its workers."""
-    path = os.path.join(tempfile.gettempdir(), f"protolith-{hashlib.sha256(data).hexdigest()[:24]}.lex")
+def mapped(data: bytes, owner: str = "") -> Lexicon:
+    """The lexicon as a file in this machine's temporary folder, mapped into memory and shared by its workers.
+
+    ``owner`` names the application: its older lexicons go, those of others stay.
+    """
+    mine = os.path.join(tempfile.gettempdir(), f"protolith-{owner}-")
+    path = f"{mine}{hashlib.sha256(data).hexdigest()[:24]}.lex"
     if not os.path.exists(path):
-        for old in glob.glob(os.path.join(tempfile.gettempdir(), "protolith-*.lex")):  # maps of them stay valid
+        for old in glob.glob(f"{glob.escape(mine)}*.lex"):  # maps of them stay valid
             with contextlib.suppress(FileNotFoundError):
                 os.remove(old)
         fd, part = tempfile.mkstemp(dir=os.path.dirname(path))
@@ -266,7 +274,7 @@ def mapped(data: bytes) -> Lexicon:
         os.replace(part, path)
     try:
         f = open(path, "rb")
-    except FileNotFoundError:  # another job's worker has just removed it
+    except FileNotFoundError:  # another worker has just removed it
         return Lexicon(data)
     with f:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
@@ -284,27 +292,19 @@ class Codec:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         names = {i: t for t, i in [*self.merges.ids.items(), *self.special.items()]}
         self.names = [names.get(i, "").encode() for i in range(max(names, default=-1) + 1)]
-        self.memo = Memo(MEMO_WORDS)
+        self.memo = WordTable(MEMO_WORDS)
 
     def ids_of(self, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in turn, and how many each word has.
-
-        Every distinct word goes through the lexicon, then the memory, then the merges.
-        """
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        kinds, back, texts = distinct_words(units, starts, ends)
-        words = [t.encode() for t in texts(np.arange(len(kinds)))]
+        """Ids of all words in turn, and how many each has; words that the worker hasn't met go through the lexicon or the merges."""
+        return self.memo.ids(*as_bytes(units, starts, ends), self.looked_up)
+
+    def looked_up(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of distinct words: those of the lexicon, else merged."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         last = np.cumsum(sizes)
         place = self.lexicon.places(np.frombuffer(b"".join(words), np.uint8), last - sizes, last)
-        miss, got = np.flatnonzero(place < 0), place >= 0
-        w = self.memo.ensure(kinds[miss], lambda new: [self.merges.word(words[i]) for i in miss[new].tolist()])
-        src, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        src[got] = self.lexicon.offs[place[got]]
-        size[got] = self.lexicon.offs[place[got] + 1] - src[got]
-        src[miss], size[miss] = self.memo.offs[w] + len(self.lexicon.out), self.memo.offs[w + 1] - self.memo.offs[w]
-        return gathered(np.concatenate([self.lexicon.out, self.memo.out]), src, size, back)
+        offs, out = self.lexicon.offs, self.lexicon.out
+        return [out[offs[p] : offs[p + 1]].tolist() if p >= 0 else self.merges.word(w) for w, p in zip(words, place.tolist(), strict=True)]
 
     def normal(self, text: str) -> list[list[bytes] | int]:
         """Words (as UTF-8) between special tokens (as ids), by the tokenizer's own normaliser and pre-tokenizer."""
@@ -321,32 +321,37 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         low = [t.lower() for t in texts]
-        plain = all_below(texts, FAST)
+        plain = all_below(*code_points(texts), FAST)
         if self.split:
             plain = [p and not ("<|" in t and self.split.search(t)) for p, t in zip(plain, texts, strict=True)]
         units, s, e, own = words_of([t for t, p in zip(low, plain, strict=True) if p])
         ids, count = self.ids_of(units, s, e)
         cut = np.concatenate([[0], np.cumsum(count)])[own]
+        slow = iter(self._slow([t for t, p in zip(texts, plain, strict=True) if not p]))
         out, k = [], 0
-        for t, p in zip(texts, plain, strict=True):
+        for p in plain:
             if p:
                 out.append(ids[cut[k] : cut[k + 1]])
                 k += 1
             else:
-                out.append(self._slow(t))
+                out.append(next(slow))
         return out
 
-    def _slow(self, text: str) -> np.ndarray:
-        seen: list[np.ndarray] = []
-        for part in self.normal(text):
-            if isinstance(part, int):
-                seen.append(np.array([part], np.uint32))
-            elif part:
-                words = [w.decode() for w in part]
-                ends = np.cumsum([len(w) for w in words])
-                units = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-                seen.append(self.ids_of(units, ends - [len(w) for w in words], ends)[0])
-        return np.concatenate(seen) if seen else np.zeros(0, np.uint32)
+    def _slow(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts whose words the tokenizer's own rules find, the words of all of them looked up at once."""
+        parts = [self.normal(t) for t in texts]
+        words = [w.decode() for text in parts for part in text if not isinstance(part, int) for w in part]
+        units, offs = code_points(words)
+        ids, count = self.ids_of(units, offs[:-1], offs[1:])
+        cut, k, out = np.concatenate([[0], np.cumsum(count)]), 0, []
+        for text in parts:
+            seen = [np.zeros(0, np.uint32)]
+            for part in text:
+                n = 0 if isinstance(part, int) else len(part)
+                seen.append(np.array([part], np.uint32) if isinstance(part, int) else ids[cut[k] : cut[k + n]])
+                k += n
+            out.append(np.concatenate(seen))
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text that the ids stand for, special tokens included."""
@@ -370,19 +375,30 @@ class WordTally:
         return out
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents of the fast path; each task's words are counted before the shuffle."""
+def tokenizer_path(tokenizer: str) -> str:
+    """The file of a tokenizer that is given by its name or by its path."""
+    return tokenizer if os.path.exists(tokenizer) else public_tokenizers.path(tokenizer)
+
+
+def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """(word, n) over all documents; each task's words are counted before the shuffle."""
 
     def count(batches):
-        tally = WordTally()
+        tally, own = WordTally(), lambda t: _codec(tokenizer_path(tokenizer), Lexicon.compile({}), "").normal(t)
         for b in batches:
             for part in chunks(b, text_col, BATCH_BYTES):
                 texts = [t for t in part.column(0).to_pylist() if t]
-                texts = [t.lower() for t, p in zip(texts, all_below(texts, FAST), strict=True) if p]
-                units, s, e, _ = words_of(texts)
+                plain = all_below(*code_points(texts), FAST)
+                units, s, e, _ = words_of([t.lower() for t, p in zip(texts, plain, strict=True) if p])
+                # words that the tokenizer's own rules find, in the other texts
+                more = [w.decode() for t, p in zip(texts, plain, strict=True) if not p for x in own(t) if not isinstance(x, int) for w in x]
+                if more:
+                    rest, offs = code_points(more)
+                    s, e = np.concatenate([s, offs[:-1] + len(units)]), np.concatenate([e, offs[1:] + len(units)])
+                    units = np.concatenate([units, rest])
                 if len(s):
                     h, first, n = np.unique(hash_words(units, s, e, 3), return_index=True, return_counts=True)
-                    text = "".join(texts)
+                    text = units.tobytes().decode("utf-32-le", "surrogatepass")
                     tally.add(pa.array([text[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)], pa.string()), h, n)
                 if len(tally.n) > MEMO_WORDS:
                     yield tally.batch()
@@ -397,7 +413,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", most:
     The least count that fits is read off the counts of counts, so what reaches
     the driver is bounded by ``most`` and not by the number of words.
     """
-    words = written(word_counts(docs, text_col).filter("n > 1"), "bpe-words")
+    words = written(word_counts(docs, tokenizer, text_col).filter("n > 1"), "bpe-words")
     tally = words.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     upto = tally.orderBy(F.desc("n")).limit(most).collect()  # a count of counts: each row stands for a word at least
     total, least = 0, 2
@@ -407,7 +423,8 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", most:
             least = r.n + 1
             break
     chosen = words.filter(F.col("n") >= least).select("word").toArrow().column(0).to_pylist()
-    merges = Merges.read(tokenizer)
+    discard(words)
+    merges = Merges.read(tokenizer_path(tokenizer))
     return Lexicon.compile({w.encode(): merges.word(w.encode()) for w in chosen})
 
 
@@ -425,21 +442,22 @@ def digests(docs: DataFrame, lexicon: bytes, tokenizer_name: str = "word_bpe_49k
 _CODECS: dict = {}
 
 
-def _codec(tokenizer: str, data: bytes) -> Codec:
-    """One codec for each lexicon and worker."""
+def _codec(tokenizer: str, data: bytes, owner: str) -> Codec:
+    """One codec for each lexicon and worker; without words it needs no file."""
     mark = (tokenizer, hashlib.sha256(data).hexdigest())
     if mark not in _CODECS:
         _CODECS.clear()
-        _CODECS[mark] = Codec(tokenizer, mapped(data))
+        _CODECS[mark] = Codec(tokenizer, mapped(data, owner) if owner else Lexicon(data))
     return _CODECS[mark]
 
 
 def _encoded(docs, lexicon, name, id_col, text_col, columns, form) -> DataFrame:
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by LEXICON_WORDS
+    sc = docs.sparkSession.sparkContext
+    shared, owner = sc.broadcast(lexicon), sc.applicationId  # bounded by LEXICON_WORDS
 
     def run(batches):
-        codec = _codec(public_tokenizers.path(name), shared.value)
+        codec = _codec(tokenizer_path(name), shared.value, owner)
         for b in batches:
             for part in chunks(b, "text", BATCH_BYTES):
                 ids = codec.encode([t or "" for t in part.column(1).to_pylist()])
@@ -452,4 +470,4 @@ def _encoded(docs, lexicon, name, id_col, text_col, columns, form) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, name = table(spark, sf_dir, "documents"), "word_bpe_49k.json"
-    return digests(docs, build_lexicon(docs, public_tokenizers.path(name)), name)
+    return digests(docs, build_lexicon(docs, name), name)

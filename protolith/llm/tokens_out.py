@@ -19,16 +19,20 @@ with a payload of little-endian fields:
     symbols                                               uint16
 
 A range of tokens is decoded from the nearest stride on, skipping by expansion
-lengths.  Symbols are 16 bits wide, so the vocabulary must be under 65,536.
+lengths.  Symbols are 16 bits wide, so the vocabulary must be under 65,536; a
+larger one, or an id outside it, is an error and never cut.
 
 Defined results: null text is the empty text, which has the end id alone; null
 ids come first, then ascending; rows that repeat an id keep the order of their
-texts; an empty table has no blocks.  Only the named columns are read.
+texts, ties of both have equal ids; a text longer than a block has a block of its
+own; an empty table has no blocks.  Only the named columns are read, so others may
+have any name.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import accumulate, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -38,34 +42,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from protolith.llm._common import table, work_path
-from protolith.llm._vec import Memo, all_below, chunks, code_points, distinct_words, gathered
-from protolith.llm.bpe import _CLASS, FAST, OTHER, SIGNS, contracted
+from protolith.llm._vec import WordTable, all_below, as_bytes, chunks, code_points
+from protolith.llm.bpe import _CLASS, FAST, SIGNS, contracted
 from protolith.llm.bpe import SPACE as BLANK
 
 #: Tokens of a block, about; a longer document has a block of its own.
 BLOCK_TOKENS = 1 << 20
-#: New symbols in a round at most, and the least count that pays for one.
-ROUND_PAIRS, LEAST = 1024, 12
+#: New symbols in a round at most, which bounds the table of pairs, and the least count that pays for one.
+ROUND_PAIRS, LEAST = 4096, 12
 STRIDE = 1024
 MAGIC = 0x52505231
-MEMO_WORDS = 800_000
+MEMO_WORDS = 1_600_000
 BATCH_BYTES = 1_500_000
 END_ID = 2
 
 
-def pieces_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points, starts and ends of byte-level pieces, and each text's offsets into them.
+def pieces_of(units: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of byte-level pieces, and each text's offsets into them.
 
     A piece is a contraction, or a run of letters, digits or other signs with the
     space before it, or white space that nothing takes.  For texts below FAST.
     """
-    units, offs = code_points(texts)
     n = len(units)
     if not n:
-        return units, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    kind = np.where(units < FAST, _CLASS[np.minimum(units, FAST - 1)], OTHER)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    kind = _CLASS.take(units, mode="clip")
     start = np.ones(n, dtype=np.uint8)  # 2: first of a text
-    start[1:] = kind[1:] != kind[:-1]
+    np.not_equal(kind[1:], kind[:-1], out=start[1:].view(bool))
     start[offs[:-1][offs[:-1] < n]] = 2
     blank = kind == BLANK
     # the last blank before a word stands apart from those before it; a space joins the word
@@ -74,7 +77,7 @@ def pieces_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     start[last[units[last] == 32] + 1] = 0
     contracted(units, start, np.flatnonzero((start > 0) & (units == 39)))
     first = np.flatnonzero(start)
-    return units, first, np.append(first[1:], n), np.searchsorted(first, offs)
+    return first, np.append(first[1:], n), np.searchsorted(first, offs)
 
 
 class Encoder:
@@ -88,21 +91,27 @@ class Encoder:
         self.library.no_padding()
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo = Memo(MEMO_WORDS)
+        self.memo = WordTable(MEMO_WORDS)
         self.signs = {b: ord(c) for b, c in enumerate(SIGNS)}
 
-    def merged(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))]
+    def merged(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece; all are spelt in the signs of their bytes at once."""
+        ends = list(accumulate(map(len, pieces), initial=0))
+        spelt = b"".join(pieces).decode("latin-1").translate(self.signs)
+        return [[t.id for t in self.model.tokenize(spelt[a:b])] for a, b in pairwise(ends)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [p and not any(s in t for s in self.special) for t, p in zip(texts, all_below(texts, FAST), strict=True)]
-        units, s, e, own = pieces_of([t for t, p in zip(texts, plain, strict=True) if p])
-        ids, cut = np.zeros(0, np.uint32), own
-        if len(s):
-            kinds, back, pieces = distinct_words(units, s, e)
-            w = self.memo.ensure(kinds, lambda new: list(map(self.merged, pieces(new))))
-            ids, count = gathered(self.memo.out, self.memo.offs[w], self.memo.offs[w + 1] - self.memo.offs[w], back)
-            cut = np.concatenate([[0], np.cumsum(count)])[own]
+        """The ids of each text."""
+        units, offs = code_points(texts)
+        plain = all_below(units, offs, FAST)
+        for special in self.special:
+            if any(special in t for t in texts):
+                plain = [p and special not in t for p, t in zip(plain, texts, strict=True)]
+        if not all(plain):
+            units, offs = code_points([t for t, p in zip(texts, plain, strict=True) if p])
+        s, e, own = pieces_of(units, offs)
+        ids, size = self.memo.ids(*as_bytes(units, s, e), self.merged)
+        cut = np.concatenate([[0], np.cumsum(size)])[own]
         out, k = [], 0
         for t, p in zip(texts, plain, strict=True):
             out.append(ids[cut[k] : cut[k + 1]] if p else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32))
@@ -112,46 +121,53 @@ class Encoder:
 
 def repair(tokens: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right) of a Re-Pair grammar for the tokens."""
-    s, rules = tokens.astype(np.uint16), []
+    s, rules = tokens.astype("<u2"), []
     while True:
         room = min(ROUND_PAIRS, 65536 - vocabulary - len(rules))
         if len(s) < 2 or room <= 0:
             break
-        keys = s[:-1].astype(np.uint32) << np.uint32(16) | s[1:]
-        ordered = np.sort(keys)
+        # two neighbours read as one number: the right symbol is its upper half
+        ordered = np.empty(len(s) - 1, np.uint32)
+        half = len(s) // 2
+        ordered[:half], ordered[half:] = s[: 2 * half].view("<u4"), s[1 : 1 + 2 * ((len(s) - 1) // 2)].view("<u4")
+        ordered.sort()
         at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         n = np.diff(np.append(at, len(ordered)))
         often = np.flatnonzero(n >= LEAST)
-        often = often[np.lexsort((ordered[at[often]], -n[often]))][: 4 * ROUND_PAIRS]
-        lefts, rights, chosen = set(), set(), []
-        for k in ordered[at[often]].tolist():
-            a, b = k >> 16, k & 0xFFFF
-            if a not in rights and b not in lefts and (a != b or a not in lefts and b not in rights):
-                lefts.add(a)
-                rights.add(b)
-                chosen.append(k)
-                if len(chosen) == room:
-                    break
-        if not chosen:
+        if not len(often):
             break
-        pairs = np.sort(np.array(chosen, np.uint32))
-        left, right = np.zeros(65536, bool), np.zeros(65536, bool)
-        left[pairs >> np.uint32(16)], right[pairs & np.uint32(0xFFFF)] = True, True
-        hit = np.flatnonzero(left[s[:-1]] & right[s[1:]])
-        where = np.minimum(np.searchsorted(pairs, keys[hit]), len(pairs) - 1)
-        ok = pairs[where] == keys[hit]
+        found = ordered[at[often[np.lexsort((ordered[at[often]], -n[often]))]]]
+        a, b = (found & np.uint32(0xFFFF)).astype(np.int64), (found >> np.uint32(16)).astype(np.int64)
+        # a symbol is a left or a right one in this round, as in the most frequent pair that has it; a pair of
+        # one symbol with itself is taken where it is the first to have that symbol
+        place, never = np.arange(len(found)), len(found)
+        as_left, as_right = np.full(65536, never), np.full(65536, never)
+        as_left[a[::-1]], as_right[b[::-1]] = place[::-1], place[::-1]
+        ok = np.where(a == b, (as_left[a] == place) & (as_right[a] == place), (as_left[a] < as_right[a]) & (as_right[b] < as_left[b]))
+        a, b = a[ok][:room], b[ok][:room]
+        # a small table of left by right symbols says which rule a pair is
+        left, right = np.full(65536, -1, np.int16), np.full(65536, -1, np.int16)
+        left[a], right[b] = -2, -2
+        ls, rs = np.flatnonzero(left == -2), np.flatnonzero(right == -2)
+        left[ls], right[rs] = np.arange(len(ls)), np.arange(len(rs))
+        rule = np.full((len(ls), len(rs)), -1, np.int16)
+        rule[left[a], right[b]] = np.arange(len(a))
+        at = left.take(s[:-1], mode="clip")
+        hit = np.flatnonzero(at >= 0)
+        at, next_ = at[hit], right.take(s[hit + 1], mode="clip")
+        ok = next_ >= 0
+        hit, where = hit[ok], rule.ravel().take(at[ok].astype(np.int32) * len(rs) + next_[ok])
+        ok = where >= 0
         hit, where = hit[ok], where[ok]
         # neighbouring hits only come from runs of one symbol: every second one counts
         fresh = np.concatenate([[True], np.diff(hit) > 1])
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
-        ok = (np.arange(len(hit)) - run) % 2 == 0
-        hit, where = hit[ok], where[ok]
-        s = s.copy()
-        s[hit] = (vocabulary + len(rules) + where).astype(np.uint16)
-        keep = np.ones(len(s), dtype=bool)
-        keep[hit + 1] = False
-        s = s[keep]
-        rules.extend(zip((pairs >> np.uint32(16)).tolist(), (pairs & np.uint32(0xFFFF)).tolist(), strict=True))
+        if not fresh.all():
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
+            ok = (np.arange(len(hit)) - run) % 2 == 0
+            hit, where = hit[ok], where[ok]
+        s[hit] = (where.astype(np.int32) + (vocabulary + len(rules))).astype(np.uint16)
+        s = np.delete(s, hit + 1)
+        rules.extend(zip(a.tolist(), b.tolist(), strict=True))
     return s, np.array(rules, np.uint16).reshape(-1, 2)
 
 
@@ -159,14 +175,17 @@ class Expansion:
     """What each symbol stands for, laid out in one array."""
 
     def __init__(self, rules: np.ndarray, vocabulary: int):
-        parts = [np.arange(vocabulary, dtype=np.uint32)]
-        known: list[np.ndarray] = []
-        one = lambda k: known[k - vocabulary] if k >= vocabulary else parts[0][k : k + 1]
-        for a, b in rules.tolist():
-            known.append(np.concatenate([one(a), one(b)]))
-        self.flat = np.concatenate(parts + known)
-        self.length = np.concatenate([np.ones(vocabulary, np.int32), np.array([len(k) for k in known], np.int32)])
-        self.first = np.cumsum(self.length, dtype=np.int32) - self.length
+        top, total = rules.astype(np.int64).max(axis=1, initial=0), vocabulary + len(rules)
+        self.flat, self.length, self.first = np.arange(vocabulary, dtype=np.uint32), np.ones(total, np.int32), np.arange(total, dtype=np.int32)
+        done = vocabulary
+        while done < total:  # the rules that only have symbols laid out already: a round of them at once
+            later = np.flatnonzero(top[done - vocabulary :] >= done)
+            to = done + int(later[0]) if len(later) else total
+            some = rules[done - vocabulary : to - vocabulary]
+            self.length[done:to] = self.length[some].sum(axis=1)
+            self.first[done:to] = len(self.flat) + np.cumsum(self.length[done:to]) - self.length[done:to]
+            self.flat = np.concatenate([self.flat, self.of(some.ravel())])
+            done = to
 
     def of(self, s: np.ndarray) -> np.ndarray:
         """The tokens that the symbols stand for."""
@@ -177,13 +196,25 @@ class Expansion:
         return self.flat[begin]
 
 
+def vocabulary_of(tokenizer_name: str, end_id: int) -> int:
+    """The number of ids of a tokenizer; an error where symbols of 16 bits can't hold them and a rule."""
+    from tokenizers import Tokenizer
+
+    n = max(Tokenizer.from_file(public_tokenizers.path(tokenizer_name)).get_vocab(with_added_tokens=True).values()) + 1
+    if not 0 <= end_id < n:
+        raise ValueError(f"the end id {end_id} isn't one of the tokenizer's {n} ids")
+    if n >= 65536:
+        raise ValueError(f"{n} ids don't fit symbols of 16 bits")
+    return n
+
+
 def pack(ids: list[np.ndarray], vocabulary: int) -> bytes:
-    """A block's payload."""
+    """A block's payload; an error where an id is not below ``vocabulary``, or that not below 65,536."""
     tokens = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    if vocabulary >= 65536 or len(tokens) and int(tokens.max()) >= vocabulary:
+        raise ValueError(f"ids must be below the vocabulary's size of {vocabulary}, and that below 65,536")
     s, rules = repair(tokens, vocabulary)
-    length = np.ones(vocabulary + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        length[vocabulary + k] = length[a] + length[b]
+    length = Expansion(rules, vocabulary).length.astype(np.int64)
     before = np.cumsum(length[s]) - length[s]
     docs = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
     head = np.array([MAGIC, vocabulary, len(rules), len(s), len(ids)], "<u4")
@@ -227,8 +258,9 @@ class Block:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_name: str = "byte_bpe_50k.json", end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50257) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_name: str = "byte_bpe_50k.json", end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents, in ascending order of id, as blocks below ``path``."""
+    vocabulary = vocabulary_of(tokenizer_name, end_id)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
