@@ -8,7 +8,7 @@ level within the level's radius of its parent, radii halving from level to
 level.  A pair of blocks, and then a pair of tree nodes, is dropped when the
 distance of their centres less both covering radii exceeds the threshold; when
 that distance plus both radii is within it, all pairs below are links and are
-counted without being visited.  What remains is decided by the cosine in double
+counted without being visited, and for a pair of blocks without being sent.  What remains is decided by the cosine in double
 precision, so the links are exactly those of a comparison of all pairs.
 
 A task returns, for each of its vectors that has a link, the number of links and
@@ -18,7 +18,9 @@ tight group costs its size and not its square.
 Defined results: vectors that are null, zero, of another length than most, or
 that hold null or non-finite components link with nothing; a null id is not
 linked, has component null and is kept; rows that repeat an id and a vector are
-copies that link with each other.  Only the named columns are read.
+copies that link with each other; of lengths that are equally frequent the smaller
+counts; an empty table gives an empty result.  Only the named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -31,15 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protolith.llm._common import table, uniform, written
+from protolith.llm._common import discard, table, uniform, written
 from protolith.llm._components import components
 
 THRESHOLD = 0.9
 #: Vectors of a block at most, about; a task holds two blocks.
-BLOCK_ROWS = 4096
-#: Vectors that the centres are chosen from, about, and centres at most.
+BLOCK_ROWS = 16384
+#: Vectors that the centres of a cell are chosen from, about, and centres at most.
 SAMPLE_ROWS = 4096
 MOST_CELLS = 256
+#: Points of a cover tree whose distances are computed at once.
+AHEAD = 64
+#: Rounds of splitting.
+ROUNDS = 6
 #: Distances in single precision are off by less than this; next to 0 by up to 5e-4.
 SLACK = 2e-3
 
@@ -80,11 +86,17 @@ class CoverTree:
                 # the parent first, so that levels are nested; then the first point that nothing covers
                 left = np.concatenate([parents[p : p + 1], mine[mine != parents[p]]])
                 while len(left):
-                    near = distances(points[left], points[left[:1]])[:, 0] <= radius if radius > 1e-6 else np.arange(len(left)) == 0
-                    near[0] = True
-                    new_owner[left[near]] = len(members)
-                    members.append(left[0])
-                    left = left[~near]
+                    # the next points at once; one that an earlier one covers is passed over
+                    ahead = distances(points[left[:AHEAD]], points[left]) <= radius if radius > 1e-6 else np.zeros((min(AHEAD, len(left)), len(left)), bool)
+                    open_ = np.ones(len(left), dtype=bool)
+                    for k, near in enumerate(ahead):
+                        if open_[k]:
+                            near &= open_
+                            near[k] = True
+                            new_owner[left[near]] = len(members)
+                            members.append(left[k])
+                            open_ &= ~near
+                    left = left[open_]
                 spans.append(len(members))
             self.members.append(np.array(members))
             self.children.append(np.array(spans))
@@ -242,8 +254,11 @@ class Dual:
 
 
 def net(points: np.ndarray, k: int) -> np.ndarray:
-    """k of the points, each the farthest from those before."""
-    chosen, near = [0], distances(points, points[:1])[:, 0]
+    """k of the points: the first half of them, then each the farthest from those before."""
+    chosen = list(range(max(1, min(k // 2, len(points)))))
+    near = np.full(len(points), np.inf, np.float32)
+    for at in range(0, len(chosen), 64):
+        near = np.minimum(near, distances(points, points[chosen[at : at + 64]]).min(axis=1))
     while len(chosen) < min(k, len(points)) and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, distances(points, points[chosen[-1:]])[:, 0])
@@ -270,58 +285,50 @@ def linked(table_: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     nodes = written(rows.filter(fit).groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")), "emb-nodes")
     n = nodes.count()
 
-    # cells around centres from a bounded sample, blocks of bounded size in a cell
-    sample = nodes.filter(uniform(F.col("id"), 14) < min(1.0, SAMPLE_ROWS / max(n, 1))).select("v").toArrow() if n else None
-    if not n or not sample.num_rows:
-        sample = nodes.limit(1).select("v").toArrow()
-    centres = net(unit(_vectors(sample.column(0).combine_chunks())), max(1, min(MOST_CELLS, n // BLOCK_ROWS))) if n else np.zeros((1, 1), np.float32)
-
-    def assign(batches):
-        for b in batches:
-            if b.num_rows:
-                own = distances(unit(_vectors(b.column(0))), centres).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], names=["v", "id", "weight", "cell"])
-
-    v_type = dict(nodes.dtypes)["v"]
-    placed = written(nodes.select("v", "id", "weight").mapInArrow(assign, f"v {v_type}, id long, weight long, cell int"), "emb-cells")
-    parts = {r.cell: -(-r.n // BLOCK_ROWS) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST_CELLS rows at most
-    split = F.element_at(F.create_map(*[F.lit(x) for k, m in (parts or {0: 1}).items() for x in (k, m)]), F.col("cell"))
-    blocks = placed.withColumn("block", F.pmod(F.xxhash64("id"), split).cast("int"))
+    placed = _cells(nodes, n)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = np.array(pdf["v"].tolist())
+        single = raw.astype(np.float32)
         points = unit(raw)
         tree = CoverTree(points)
-        data = pickle.dumps((pdf["id"].to_numpy(), pdf["weight"].to_numpy(), raw, tree.members, tree.children, tree.radius, tree.count))
+        # vectors that came in single precision go on in it
+        data = pickle.dumps((pdf["id"].to_numpy(), pdf["weight"].to_numpy(), single if (single == raw).all() else raw, tree.members, tree.children, tree.radius, tree.count))
         root = points[0].astype(float)
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1].to_numpy(), "block": pdf["block"].iloc[:1].to_numpy(), "centre": [root.tolist()], "radius": [float(tree.radius[0][0])], "data": [data]})
+        return pd.DataFrame({"top": pdf["top"].iloc[:1].to_numpy(), "block": pdf["block"].iloc[:1].to_numpy(), "centre": [root.tolist()], "radius": [float(tree.radius[0][0])], "total": [int(pdf["weight"].sum())], "least": [pdf["id"].min()], "data": [data]})
 
-    built = written(blocks.groupBy("cell", "block").applyInPandas(build, "cell int, block int, centre array<double>, radius double, data binary"), "emb-trees")
+    built = written(placed.groupBy("top", "block").applyInPandas(build, "top int, block string, centre array<double>, radius double, total long, least long, data binary"), "emb-trees")
 
-    # pairs of blocks that the covering radii don't rule out
+    # pairs of blocks that the covering radii don't rule out, first by the cells of the first round
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-    meta = built.select("cell", "block", "centre", "radius")
-    side = lambda s: meta.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cell", "block", "centre", "radius")])
-    cells = np.array(sorted(parts))
-    wide = _cell_radii(placed, centres)
-    apart = distances(centres[cells], centres[cells]) if len(cells) else np.zeros((0, 0))
-    near = [(int(cells[i]), int(cells[j])) for i in range(len(cells)) for j in range(i, len(cells)) if i == j or apart[i, j] <= reach + SLACK + wide.get(int(cells[i]), 0) + wide.get(int(cells[j]), 0)]
-    pairs = spark.createDataFrame(near, "cell_a int, cell_b int").join(side("a"), "cell_a").join(side("b"), "cell_b")
-    pairs = pairs.filter((F.col("cell_a") < F.col("cell_b")) | (F.col("block_a") <= F.col("block_b")))
-    dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
-    self_pair = (F.col("cell_a") == F.col("cell_b")) & (F.col("block_a") == F.col("block_b"))
-    pairs = pairs.filter(self_pair | (apart <= reach + F.col("radius_a") + F.col("radius_b"))).select("cell_a", "block_a", "cell_b", "block_b", F.struct("cell_a", "block_a", "cell_b", "block_b").alias("pair"))
-    pairs = written(pairs, "emb-pairs")
-    one = lambda s, k: pairs.select(F.col(f"cell_{s}").alias("cell"), F.col(f"block_{s}").alias("block"), F.xxhash64("pair").alias("pair"), F.lit(k).alias("side"))
-    ends = one("a", 0).union(one("b", 1))
-    work = built.select("cell", "block", "data").join(ends, ["cell", "block"]).select("pair", "side", "cell", "block", "data")
+    meta = built.select("top", "block", "centre", "radius", "total", "least")
+    apart_of = lambda x, y: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda a, p: a + p)))
+    # a ball around one of a cell's blocks that holds all of them; MOST_CELLS rows at most
+    first = meta.groupBy("top").agg(F.min(F.struct("block", "centre")).getField("centre").alias("middle"))
+    tops = meta.join(F.broadcast(first), "top").groupBy("top").agg(F.first("middle").alias("middle"), F.max(apart_of(F.col("middle"), F.col("centre")) + F.col("radius")).alias("wide"))
+    tops = written(tops, "emb-tops")
+    of = lambda t, s: t.select(*[F.col(c).alias(f"{c}_{s}") for c in t.columns])
+    near = of(tops, "a").join(F.broadcast(of(tops, "b")), F.col("top_a") <= F.col("top_b")).filter((F.col("top_a") == F.col("top_b")) | (apart_of(F.col("middle_a"), F.col("middle_b")) <= reach + F.col("wide_a") + F.col("wide_b"))).select("top_a", "top_b")
+    pairs = of(meta, "a").join(F.broadcast(near), "top_a").join(of(meta, "b"), "top_b").filter((F.col("top_a") < F.col("top_b")) | (F.col("block_a") <= F.col("block_b")))
+    self_pair = (F.col("top_a") == F.col("top_b")) & (F.col("block_a") == F.col("block_b"))
+    apart = apart_of(F.col("centre_a"), F.col("centre_b"))
+    # where all of one block is within reach of all of the other, nothing need be sent
+    whole = F.when(self_pair, 2 * F.col("radius_a")).otherwise(apart + F.col("radius_a") + F.col("radius_b")) <= reach - 2 * SLACK
+    pairs = pairs.filter(self_pair | (apart <= reach + F.col("radius_a") + F.col("radius_b")))
+    pairs = pairs.select("top_a", "block_a", "total_a", "least_a", "top_b", "block_b", "total_b", "least_b", self_pair.alias("own"), whole.alias("whole"))
+    pairs = written(pairs.withColumn("pair", F.concat_ws("|", "top_a", "block_a", "top_b", "block_b")), "emb-pairs")
+    some = pairs.filter("NOT whole")
+    one = lambda s, k: some.select(F.col(f"top_{s}").alias("top"), F.col(f"block_{s}").alias("block"), "pair", "own", F.lit(k).alias("side"))
+    ends = one("a", 0).union(one("b", 1).filter("NOT own")).drop("own")
+    work = built.select("top", "block", "data").join(ends, ["top", "block"]).select("pair", "side", "data")
+
+    beside = lambda s, o: pairs.filter("whole").select(F.col(f"top_{s}").alias("top"), F.col(f"block_{s}").alias("block"), "own", F.col(f"total_{o}").alias("total"), F.col(f"least_{o}").alias("least"))
+    per = beside("a", "b").union(beside("b", "a").filter("NOT own")).groupBy("top", "block").agg(F.sum("total").alias("total"), F.max(F.col("own").cast("int")).alias("own"), F.min("least").alias("to"))
+    members = placed.select("top", "block", "id", "weight").join(per, ["top", "block"])
+    members = members.select("id", (F.col("total") - F.col("own") * F.col("weight")).alias("links"), "to").filter("links > 0")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("side")
-        loaded = [pickle.loads(d) for d in pdf["data"]]
-        own = len(loaded) == 2 and tuple(pdf[["cell", "block"]].iloc[0]) == tuple(pdf[["cell", "block"]].iloc[1])
-        sides = loaded[:1] if own else loaded
+        sides = [pickle.loads(d) for d in pdf.sort_values("side")["data"]]
         trees = [CoverTree.load(unit(x[2]), *x[3:]) for x in sides]
         ids, weight, exact = (np.concatenate([x[k] for x in sides]) for k in range(3))
         found = Dual(trees[0], trees[1] if len(trees) > 1 else None, exact, weight, threshold)
@@ -332,7 +339,8 @@ def linked(table_: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             roots[r] = min(roots.get(r, int(ids[i])), int(ids[i]))
         return pd.DataFrame({"id": ids[hit], "links": found.links[hit], "to": np.array([roots[found.find(i)] for i in hit.tolist()], np.int64)})
 
-    found = written(work.groupBy("pair").applyInPandas(compare, "id long, links long, to long"), "emb-links")
+    found = written(work.groupBy("pair").applyInPandas(compare, "id long, links long, to long").union(members), "emb-links")
+    discard(placed, built, tops, pairs)
     comp = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")).distinct())
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = nodes.join(counts, "id", "left").join(comp, "id", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
@@ -341,20 +349,60 @@ def linked(table_: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _cell_radii(placed: DataFrame, centres: np.ndarray) -> dict[int, float]:
-    """The largest distance from each cell's centre to a vector of the cell."""
+def _cells(nodes: DataFrame, n: int) -> DataFrame:
+    """(v, id, weight, top, block): the cell of the first round, and the block, a ball of bounded size."""
+    v_type = dict(nodes.dtypes)["v"]
+    drawn = lambda share, r: uniform(F.col("id"), 14 + r) < share
+    sample = nodes.filter(drawn(min(1.0, SAMPLE_ROWS / max(n, 1)), 0)).select("v").toArrow() if n else None
+    if n and not sample.num_rows:
+        sample = nodes.limit(1).select("v").toArrow()
+    centres = net(unit(_vectors(sample.column(0).combine_chunks())), max(1, min(MOST_CELLS, -(-2 * n // BLOCK_ROWS)))) if n else np.zeros((1, 1), np.float32)
 
-    def run(batches):
-        most: dict[int, float] = {}
+    def assign(batches):
         for b in batches:
             if b.num_rows:
-                cell = b.column(1).to_numpy()
-                d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", unit(_vectors(b.column(0))), centres[cell]), 0))
-                for c in np.unique(cell).tolist():
-                    most[c] = max(most.get(c, 0.0), float(d[cell == c].max()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int32()), pa.array(list(most.values()), pa.float64())], names=["cell", "radius"])
-
-    return {r.cell: r.radius for r in placed.select("v", "cell").mapInArrow(run, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect()}
+                own = distances(unit(_vectors(b.column(0))), centres).argmin(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(own).cast(pa.string())], names=["v", "id", "weight", "top", "block"])
+
+    columns = ["v", "id", "weight", "top", "block"]
+    left = written(nodes.select("v", "id", "weight").mapInArrow(assign, f"v {v_type}, id long, weight long, top int, block string"), "emb-cells")
+    done = None
+    for r in range(1, ROUNDS + 1):
+        sizes = left.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS)
+        sizes = written(sizes.select(F.col("block").alias("cell"), "n", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts")), "emb-sizes")
+        if sizes.isEmpty():
+            discard(sizes)
+            break
+        small = left.join(sizes, left["block"] == sizes["cell"], "left_anti")
+        big = left.join(sizes, left["block"] == sizes["cell"]).drop("cell")
+
+        def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+            points = unit(np.array(pdf["v"].tolist()))
+            k = max(2, min(MOST_CELLS, -(-2 * int(pdf["n"].iloc[0]) // BLOCK_ROWS)))
+            return pd.DataFrame({"block": pdf["block"].iloc[:1], "centres": [net(points, k).tobytes()], "parts": pdf["parts"].iloc[:1]})
+
+        def split(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left):
+                return left[columns]
+            points = unit(np.array(left["v"].tolist()))
+            # a cell that no row was drawn from stays for another round
+            own = distances(points, np.frombuffer(right["centres"].iloc[0], np.float32).reshape(-1, points.shape[1])).argmin(axis=1) if len(right) else np.zeros(len(left), int)
+            return left.assign(block=[f"{b}.{k}" for b, k in zip(left["block"], own.tolist(), strict=True)])[columns]
+
+        # about SAMPLE_ROWS rows of a cell go to the task that chooses its centres, BLOCK_ROWS to one that assigns
+        chosen = written(big.filter(drawn(SAMPLE_ROWS / F.col("n"), r)).groupBy("block").applyInPandas(choose, "block string, centres binary, parts int"), "emb-centres")
+        dealt = big.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).groupBy("block", "part")
+        sent = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("block", "part")
+        again = dealt.cogroup(sent).applyInPandas(split, f"v {v_type}, id long, weight long, top int, block string")
+        now = written(again, "emb-cells")
+        kept = written(small if done is None else done.unionByName(small), "emb-done")
+        discard(left, chosen, sizes, *([] if done is None else [done]))
+        left, done = now, kept
+    sizes = left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    rest = left.join(sizes, "block").withColumn("block", F.concat("block", F.lit("#"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("string"))).select(*columns)
+    out = written(rest if done is None else done.unionByName(rest), "emb-blocks")
+    discard(left, *([] if done is None else [done]))
+    return out
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

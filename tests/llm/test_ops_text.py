@@ -1,6 +1,7 @@
 """Tokens, language, toxicity, secrets and URLs against brute force, the library, or held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -123,6 +124,43 @@ def test_codewords_are_far_apart(n):
     code = language.codewords(n).astype(int)
     apart = [(code[i] != code[j]).sum() for i in range(n) for j in range(i)]
     assert min(apart) >= {2: 1, 3: 2, 4: 4, 5: 8}.get(n, 4)
+    if n > 5:  # the best of the draws, drawn once more
+        bits, rng, best = code.shape[1], np.random.default_rng(7), 0
+        for _ in range(200):
+            draw = np.where(rng.random((n, bits)) < 0.5, 1, -1)
+            if not (np.abs(draw.sum(0)) == n).any():
+                best = max(best, min((draw[i] != draw[j]).sum() for i in range(n) for j in range(i)))
+        assert min(apart) == best
+
+
+def brute_decode(model, text):
+    """Language and losses by their definition, one trigram, bit and codeword at a time."""
+    data, total = text.lower().encode(), [0.0] * model.code.shape[1]
+    for k in range(len(data) - 2):
+        x = (data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 2654435761 % 2**32 >> 16
+        total = [t + float(w) for t, w in zip(total, model.table[x], strict=True)]
+    root = max(len(data) - 2, 1) ** 0.5
+    loss = [sum(w * math.log(1 + math.exp(-c * t / root)) for c, t, w in zip(code, total, model.bits, strict=True)) / sum(model.bits) for code in model.code.tolist()]
+    order = sorted(range(len(loss)), key=lambda k: loss[k])
+    return order[0], loss[order[1]] - loss[order[0]]
+
+
+def test_decoding_equals_brute_force_and_flags_short_and_mixed_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.trained(docs)
+    rows = [r for r in docs.filter("text IS NOT NULL AND length(text) BETWEEN 1000 AND 4000").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    for t in [r.text[:400] for r in rows[:20]] + ["", "a", "ab", "été", "x y z"]:
+        k, _, gap = model.decode(model.evidence(np.frombuffer(t.lower().encode(), np.uint8)))
+        want, wide = brute_decode(model, t)
+        assert gap == pytest.approx(wide, abs=1e-4) and (k == want or wide < 1e-4)
+    by = {lang: [r.text[:900] for r in rows if r.lang == lang] for lang in model.langs}
+    mixed = [a + " " + b for x, y in zip(model.langs, model.langs[1:], strict=False) for a, b in zip(by[x], by[y], strict=False)]
+    made = [(i, t) for i, t in enumerate([*mixed, *(r.text for r in rows), "de", "a"])]
+    monkeypatch.setattr(language, "BLOCK", 1000)  # texts are longer than a block
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(made, "doc_id long, text string"), model).collect()}
+    flag = [got[i].ambiguous for i in range(len(made))]
+    seen, pure = flag[: len(mixed)], flag[len(mixed) : -2]
+    assert mixed and sum(seen) > 0.8 * len(seen) and sum(pure) < 0.05 * len(pure) and all(flag[-2:])
 
 
 def brute_segments(gain):
@@ -245,3 +283,25 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()}
     assert got == {r[0]: r[2:] for r in rows}
     assert urls.judge(pages.limit(0)).count() == 0
+    long = "http://a.net/" + "x/" * 200_000 + "casino"
+    twice = spark.createDataFrame([(1, long), (1, long), (2, long + "o")], "page_id long, url string")
+    assert sorted((r.page_id, r.verdict, r.strict_hits) for r in urls.judge(twice).collect()) == [(1, "block", 1), (1, "block", 1), (2, "allow", 0)]
+
+
+def test_url_vocabulary_is_weighed_and_bounded(spark, tmp_path, monkeypatch):
+    terms = [("alpha", "soft", 0.5), ("beta", "soft", 1.5), ("gamma", "strict", 1.0), ("alpha", "soft", 0.25), ("a.b", "soft", 2.0), ("", "soft", 9.0)]
+    pages = spark.createDataFrame([(1, "http://x/alpha"), (2, "http://x/alpha-beta"), (3, "http://x/beta/beta"), (4, "http://gamma/"), (5, "http://a.b/alphabet"), (6, "http://x/éalphaé")], "page_id long, url string")
+    want = {1: ("allow", 0, 1, 0.5), 2: ("block", 0, 2, 2.0), 3: ("allow", 0, 1, 1.5), 4: ("block", 1, 0, 0.0), 5: ("block", 0, 1, 2.0), 6: ("allow", 0, 1, 0.5)}
+    path = tmp_path / "terms.csv"
+    path.write_text("term,kind,weight\n" + "".join(f"{t},{k},{w}\n" for t, k, w in terms))
+    for vocabulary in (terms, path, spark.createDataFrame(terms, "term string, kind string, weight double")):
+        got = urls.judge(pages, rules=(), vocabulary=vocabulary).collect()
+        assert {r.page_id: (r.verdict, r.strict_hits, r.soft_hits, r.soft_weight) for r in got} == want
+    assert {r.verdict for r in urls.judge(pages, rules=(), vocabulary=[]).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        urls.packed([("a", "hard", 1.0)])
+    monkeypatch.setattr(urls, "MOST_TERMS", 3)
+    with pytest.raises(ValueError):
+        urls.packed(terms)
+    with pytest.raises(ValueError):
+        urls.terms_of(spark.createDataFrame(terms, "term string, kind string, weight double"))
