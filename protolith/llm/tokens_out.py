@@ -31,8 +31,9 @@ have any name.
 
 from __future__ import annotations
 
+import json
 import zlib
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -54,6 +55,8 @@ STRIDE = 1024
 MAGIC = 0x52505231
 MEMO_WORDS = 1_600_000
 BATCH_BYTES = 1_500_000
+#: Pieces of so many bytes at most are merged together in lock-step; longer ones by the library.
+LOCK_STEP = (6, 10, 16, 32)
 END_ID = 2
 
 
@@ -80,6 +83,99 @@ def pieces_of(units: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, np.append(first[1:], n), np.searchsorted(first, offs)
 
 
+class Merges:
+    """The merges of a byte-level BPE file, done for many pieces in lock-step: in each, the first pair of the least rank.
+
+    ``exact`` says that this equals the library: the file has no options, the sign of
+    every byte, and no merge that makes what an earlier one uses or another one makes,
+    so a merge never brings up a pair of a lower rank than its own.
+    """
+
+    NONE, GONE = np.uint32(0x7FFFFFFF), np.uint32(0xFFFF)  # the rank of no merge; a place without a symbol
+
+    def __init__(self, tokenizer: str):
+        with open(tokenizer, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        made = {a + b: k for k, (a, b) in enumerate(merges)}
+        options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        self.exact = (
+            not any(model.get(k) for k in options)
+            and all(c in vocab for c in SIGNS)
+            and max(vocab.values(), default=0) < self.GONE
+            and len(made) == len(merges)
+            and all(made.get(x, -1) < k for k, m in enumerate(merges) for x in m)
+        )
+        if not self.exact:
+            return
+        self.of_byte = np.array([vocab[c] for c in SIGNS], np.uint32)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.uint32)
+        codes = np.array([vocab[a] | vocab[b] << 16 for a, b in merges], np.uint32)
+        self.shift = np.uint32(32 - max(4, (8 * len(codes)).bit_length()))
+        self.slots = np.full(1 << 32 - int(self.shift), np.uint64(0xFFFFFFFF << 32) | np.uint64(self.NONE))  # a pair, and its rank
+        value, slot = codes.astype(np.uint64) << np.uint64(32) | np.arange(len(codes), dtype=np.uint64), self._slot(codes)
+        empty = self.slots[0]
+        while len(slot):
+            free = np.flatnonzero(self.slots[slot] == empty)
+            now = free[np.unique(slot[free], return_index=True)[1]]
+            self.slots[slot[now]] = value[now]
+            left = np.ones(len(slot), dtype=bool)
+            left[now] = False
+            slot, value = (slot[left] + 1) % len(self.slots), value[left]
+        self.of_bytes = self.rank(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256))
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair of symbols, or NONE."""
+        codes = a | b << np.uint32(16)
+        slot = self._slot(codes)
+        seen = self.slots[slot]
+        out, pair = seen.astype(np.uint32), (seen >> np.uint64(32)).astype(np.uint32)
+        go = np.flatnonzero((pair != codes) & (out != self.NONE))
+        out[pair != codes] = self.NONE
+        while len(go):
+            slot[go] = (slot[go] + 1) % len(self.slots)
+            seen = self.slots[slot[go]]
+            rank, same = seen.astype(np.uint32), (seen >> np.uint64(32)).astype(np.uint32) == codes[go]
+            out[go[same]] = rank[same]
+            go = go[~same & (rank != self.NONE)]
+        return out
+
+    def of(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in turn, and how many each has."""
+        n, long = len(starts), int(size.max(initial=0))
+        wide = long + 2  # a place before the first symbol and one after the last
+        column = np.arange(long)
+        inside = column < size[:, None]
+        byte = data.take(starts[:, None] + column, mode="clip")
+        s, r = np.full((n, wide), self.GONE), np.full((n, wide), self.NONE)
+        s[:, 1:-1] = np.where(inside, self.of_byte[byte], self.GONE)
+        r[:, 1:-2] = np.where(inside[:, 1:], self.of_bytes[byte[:, :-1].astype(np.int32) << 8 | byte[:, 1:]], self.NONE)
+        flat, rank = s.ravel(), r.ravel()
+        after = np.arange(1, n * wide + 1, dtype=np.int32)
+        before = np.arange(-1, n * wide - 1, dtype=np.int32)
+        rows = np.arange(n)
+        while True:
+            at = rows * wide + (r if len(rows) == n else r[rows]).argmin(axis=1)
+            least = rank[at]
+            go = least != self.NONE
+            if not go.all():
+                rows, at, least = rows[go], at[go], least[go]
+            if not len(rows):
+                break
+            flat[at] = new = self.made[least]
+            old, left = after[at], before[at]
+            flat[old], rank[old] = self.GONE, self.NONE
+            after[at] = right = after[old]
+            before[right] = at
+            rank[at], rank[left] = self.rank(new, flat[right]), self.rank(flat[left], new)
+        left = s != self.GONE
+        return s[left], np.count_nonzero(left, axis=1)
+
+
 class Encoder:
     """The library's encoding of whole texts, one merge for each distinct piece of a batch."""
 
@@ -93,15 +189,38 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo = WordTable(MEMO_WORDS)
         self.signs = {b: ord(c) for b, c in enumerate(SIGNS)}
+        self.merges = Merges(tokenizer)
 
-    def merged(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece; all are spelt in the signs of their bytes at once."""
+    def spelt(self, pieces: list[bytes]) -> list[list[int]]:
+        """The library's ids of each piece; all are spelt in the signs of their bytes at once."""
         ends = list(accumulate(map(len, pieces), initial=0))
-        spelt = b"".join(pieces).decode("latin-1").translate(self.signs)
-        return [[t.id for t in self.model.tokenize(spelt[a:b])] for a, b in pairwise(ends)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+        signs = b"".join(pieces).decode("latin-1").translate(self.signs)
+        return [[t.id for t in self.model.tokenize(signs[a:b])] for a, b in pairwise(ends)]
+
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in turn, and how many each has."""
+        data, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts, found = np.cumsum(size) - size, []
+        low = -1
+        for most in LOCK_STEP if self.merges.exact else ():
+            some = np.flatnonzero((size > low) & (size <= most))
+            if len(some):
+                found.append((some, *self.merges.of(data, starts[some], size[some])))
+            low = most
+        rest = np.flatnonzero(size > low)
+        if len(rest):
+            lists = self.spelt([pieces[k] for k in rest.tolist()])
+            found.append((rest, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))))
+        count = np.zeros(len(pieces), np.int64)
+        for some, _, n in found:
+            count[some] = n
+        begin, out = np.cumsum(count) - count, np.empty(int(count.sum()), np.uint32)
+        for some, ids, n in found:
+            out[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, count
+
+    def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
+        """The ids of each text, and behind them ``end`` if given."""
         units, offs = code_points(texts)
         plain = all_below(units, offs, FAST)
         for special in self.special:
@@ -112,62 +231,100 @@ class Encoder:
         s, e, own = pieces_of(units, offs)
         ids, size = self.memo.ids(*as_bytes(units, s, e), self.merged)
         cut = np.concatenate([[0], np.cumsum(size)])[own]
+        if end is not None:
+            ids, cut = np.insert(ids, cut[1:], end), cut + np.arange(len(cut))
+        last = [] if end is None else [end]
         out, k = [], 0
         for t, p in zip(texts, plain, strict=True):
-            out.append(ids[cut[k] : cut[k + 1]] if p else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32))
+            out.append(ids[cut[k] : cut[k + 1]] if p else np.array(self.library.encode(t, add_special_tokens=False).ids + last, np.uint32))
             k += p
         return out
 
 
+def tallied(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, ascending, and how often each is there; sorts its argument."""
+    if not len(pairs):
+        return pairs, np.zeros(0, np.int64)
+    pairs.sort()
+    at = np.concatenate([[0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1])
+    return pairs[at], np.diff(at, append=len(pairs))
+
+
+def pairs_at(s: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """The symbols at these places and those after them, as numbers: the right symbol is the upper half."""
+    out = s[1:][at].astype(np.uint32)
+    out <<= np.uint32(16)
+    out |= s[:-1][at]
+    return out
+
+
 def repair(tokens: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (left, right) of a Re-Pair grammar for the tokens."""
+    """Symbols and rules (left, right) of a Re-Pair grammar for the tokens.
+
+    Pairs are counted once.  A round then takes away the pairs that its replacements
+    end and counts those that they bring, which all have a symbol of this round; any
+    other pair only gets rarer, so what is below LEAST once can be forgotten.
+    """
     s, rules = tokens.astype("<u2"), []
+    pairs, n = tallied(pairs_at(s, slice(None)))
+    often = n >= LEAST
+    pairs, n = pairs[often], n[often]
     while True:
         room = min(ROUND_PAIRS, 65536 - vocabulary - len(rules))
-        if len(s) < 2 or room <= 0:
-            break
-        # two neighbours read as one number: the right symbol is its upper half
-        ordered = np.empty(len(s) - 1, np.uint32)
-        half = len(s) // 2
-        ordered[:half], ordered[half:] = s[: 2 * half].view("<u4"), s[1 : 1 + 2 * ((len(s) - 1) // 2)].view("<u4")
-        ordered.sort()
-        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        n = np.diff(np.append(at, len(ordered)))
-        often = np.flatnonzero(n >= LEAST)
-        if not len(often):
+        if not len(pairs) or room <= 0:
             break
-        found = ordered[at[often[np.lexsort((ordered[at[often]], -n[often]))]]]
-        a, b = (found & np.uint32(0xFFFF)).astype(np.int64), (found >> np.uint32(16)).astype(np.int64)
+        # by falling count, then by the pair
+        found = ((np.uint64(1 << 32) - n.astype(np.uint64)) << np.uint64(32)) | pairs
+        found.sort()
+        found = found.astype(np.uint32)
+        a, b = (found & np.uint32(0xFFFF)).astype(np.int32), (found >> np.uint32(16)).astype(np.int32)
         # a symbol is a left or a right one in this round, as in the most frequent pair that has it; a pair of
         # one symbol with itself is taken where it is the first to have that symbol
-        place, never = np.arange(len(found)), len(found)
-        as_left, as_right = np.full(65536, never), np.full(65536, never)
+        place, never = np.arange(len(found), dtype=np.int32), len(found)
+        as_left, as_right = np.full(65536, never, np.int32), np.full(65536, never, np.int32)
         as_left[a[::-1]], as_right[b[::-1]] = place[::-1], place[::-1]
         ok = np.where(a == b, (as_left[a] == place) & (as_right[a] == place), (as_left[a] < as_right[a]) & (as_right[b] < as_left[b]))
-        a, b = a[ok][:room], b[ok][:room]
+        a, b, chosen = a[ok][:room], b[ok][:room], found[ok][:room]
         # a small table of left by right symbols says which rule a pair is
-        left, right = np.full(65536, -1, np.int16), np.full(65536, -1, np.int16)
-        left[a], right[b] = -2, -2
-        ls, rs = np.flatnonzero(left == -2), np.flatnonzero(right == -2)
-        left[ls], right[rs] = np.arange(len(ls)), np.arange(len(rs))
-        rule = np.full((len(ls), len(rs)), -1, np.int16)
-        rule[left[a], right[b]] = np.arange(len(a))
-        at = left.take(s[:-1], mode="clip")
-        hit = np.flatnonzero(at >= 0)
-        at, next_ = at[hit], right.take(s[hit + 1], mode="clip")
-        ok = next_ >= 0
-        hit, where = hit[ok], rule.ravel().take(at[ok].astype(np.int32) * len(rs) + next_[ok])
+        side = np.zeros(65536, np.uint8)  # 1: left, 2: right, 3: both
+        side[a] = 1
+        side[b] |= 2
+        ls, rs = np.flatnonzero((side & 1).view(bool)), np.flatnonzero((side >> 1).view(bool))
+        left, right = np.zeros(65536, np.int32), np.zeros(65536, np.int32)
+        left[ls], right[rs] = np.arange(len(ls)) * len(rs), np.arange(len(rs))
+        rule = np.full(len(ls) * len(rs), -1, np.int16)
+        rule[left[a] + right[b]] = np.arange(len(a))
+        at = side.take(s, mode="clip")
+        hit = np.flatnonzero((at[:-1] & (at[1:] >> 1)).view(bool))
+        where = rule.take(left.take(s[hit], mode="clip") + right.take(s[hit + 1], mode="clip"), mode="clip")
         ok = where >= 0
         hit, where = hit[ok], where[ok]
         # neighbouring hits only come from runs of one symbol: every second one counts
-        fresh = np.concatenate([[True], np.diff(hit) > 1])
-        if not fresh.all():
-            run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
-            ok = (np.arange(len(hit)) - run) % 2 == 0
+        gap = np.diff(hit)
+        if gap.min(initial=2) == 1:
+            run = np.arange(len(hit))
+            run[1:][gap == 1] = 0
+            ok = (np.arange(len(hit)) - np.maximum.accumulate(run)) % 2 == 0
             hit, where = hit[ok], where[ok]
-        s[hit] = (where.astype(np.int32) + (vocabulary + len(rules))).astype(np.uint16)
-        s = np.delete(s, hit + 1)
+            gap = np.diff(hit)
+        # the pairs that end: those replaced, and those with the symbol before or after, each place once
+        apart = np.concatenate([[hit[0] > 0], gap > 2])
+        n[np.searchsorted(pairs, chosen)] -= np.bincount(where, minlength=len(chosen))
+        gone, m = tallied(pairs_at(s, np.concatenate([hit[apart] - 1, (hit[:-1] if hit[-1] + 2 == len(s) else hit) + 1])))
+        k = np.minimum(np.searchsorted(pairs, gone), len(pairs) - 1)
+        ok = pairs[k] == gone
+        n[k[ok]] -= m[ok]
+        s[hit] = where.astype(np.uint16) + np.uint16(vocabulary + len(rules))
+        keep = np.ones(len(s), dtype=bool)
+        keep[hit + 1] = False
+        s = s[keep]
         rules.extend(zip(a.tolist(), b.tolist(), strict=True))
+        hit -= np.arange(len(hit))
+        come, m = tallied(pairs_at(s, np.concatenate([hit[apart] - 1, hit[:-1] if hit[-1] + 1 == len(s) else hit])))
+        often, more = n >= LEAST, m >= LEAST
+        pairs, n = np.concatenate([pairs[often], come[more]]), np.concatenate([n[often], m[more]])
+        order = np.argsort(pairs)
+        pairs, n = pairs[order], n[order]
     return s, np.array(rules, np.uint16).reshape(-1, 2)
 
 
@@ -278,13 +435,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_name: str = "byte_bpe_50k
 
         for b in batches:
             for part in chunks(b, "text", BATCH_BYTES):
-                for k, x in enumerate(encoder.encode(part.column(1).to_pylist())):
-                    if held and held + len(x) >= BLOCK_TOKENS:
+                for k, x in enumerate(encoder.encode(part.column(1).to_pylist(), end_id)):
+                    if held and held + len(x) > BLOCK_TOKENS:
                         yield done()
                         block, ids, own, held = block + 1, [], [], 0
-                    ids.append(np.append(x, np.uint32(end_id)))
+                    ids.append(x)
                     own.append(part.column(0).slice(k, 1))
-                    held += len(x) + 1
+                    held += len(x)
         if ids:
             yield done()
 
